@@ -45,9 +45,14 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 
 def by_bytes(texts: Iterable[bytes | str | None], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (start, end) ranges of at most `most` bytes; a longer text is a range of its own."""
+    yield from by_sizes((len(t or b"") for t in texts), most)
+
+
+def by_sizes(sizes: Iterable[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """by_bytes() for what has these sizes."""
     start, size, n = 0, 0, 0
-    for n, text in enumerate(texts, 1):
-        size += len(text or b"")
+    for n, own in enumerate(sizes, 1):
+        size += own
         if size >= most:
             yield start, n
             start, size = n, 0
