@@ -1,15 +1,17 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 Every document becomes the set of its distinct five-word shingles (64-bit hashes). Documents with equal sets form a
-class, and only one signature a class goes on: 128 minwise values of 16 bits. A tree starts with all classes in one
-node; a node picks one of the 128 positions by a hash of its own path, sometimes two (1 / 0.85 on average), and sends
+class, and only one signature a class goes on: 256 minwise values of 16 bits. A tree starts with all classes in one
+node; a node picks one of the 256 positions by a hash of its own path, sometimes two (1 / 0.85 on average), and sends
 each class to the child named by its value there. Pairs at the threshold thus meet in one child on average at every
-level, less alike pairs die out. Nodes of up to `leaf` classes stop; larger ones branch on, to `last_depth`. Eight
-independent trees of depth 4 find a pair at the threshold with a probability of over 0.99, alike pairs sooner.
+level, less alike pairs die out. Nodes of up to `leaf` classes stop; larger ones branch on, to `last_depth`. Twelve
+independent trees find a pair at the threshold with a probability of over 0.999, alike pairs sooner.
 
 Nodes are compared in two steps, so that a crowd of near copies never becomes all its pairs. First each class is held
 against one leader of its node, and confirmed links give components. Then only classes outside their node's leading
-component are held against the rest of the node, in blocks of bounded size, skipping pairs that are linked already.
+component are held against the rest of the node, in blocks of bounded size, skipping pairs that are linked already:
+in rounds, each proposing for a class only the 2, then 16 pairs in a node whose signatures agree best, and at last all
+that are left. Links found in a round make most of the next one's pairs needless.
 Signatures only propose pairs; every link is confirmed on the full shingle sets.
 
 Defined results: null or blank texts have no shingles and link with nothing; fewer than five words are one shingle;
@@ -31,7 +33,7 @@ from agendum.llm.components import components
 from agendum.llm.wordhash import shingles
 
 #: Minwise values in a signature.
-T = 128
+T = 256
 _RNG = np.random.default_rng(85)
 _TIMES = (_RNG.integers(0, 1 << 31, T, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _PLUS = _RNG.integers(0, 1 << 32, T, dtype=np.uint32)[:, None]
@@ -43,13 +45,15 @@ class Join:
 
     percent: int = 85
     words: int = 5
-    trees: int = 8
+    trees: int = 12
     first_depth: int = 4
-    last_depth: int = 10
+    last_depth: int = 8
     leaf: int = 64
     block: int = 2048
-    #: Pairs whose signatures agree less are not confirmed: 4 standard deviations below 0.85.
-    agree: float = 0.72
+    #: Pairs that a round proposes for a class in a node; the last round, without a limit, proposes all.
+    rounds: tuple[int | None, ...] = (2, 16, None)
+    #: Pairs whose signatures agree less are not confirmed: 4.5 standard deviations below 0.85.
+    agree: float = 0.75
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -117,14 +121,15 @@ def _nodes(classes: DataFrame, join: Join) -> DataFrame:
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """Of the pairs (a, b), those whose signatures agree well enough to be confirmed."""
-    sig = {x: classes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
+    sig = {x: classes.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
+    near = 100 * F.least("size_a", "size_b") >= join.percent * F.greatest("size_a", "size_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, T) for i in (2, 3))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((a == b).mean(1) >= join.agree))
 
-    return pairs.join(sig["a"], "a").join(sig["b"], "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(sig["a"], "a").join(sig["b"], "b").where(near).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
@@ -156,8 +161,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return pairs.join(own["a"], "a").join(own["b"], "b").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) of different components that share a node and whose signatures agree."""
+def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join, most: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that share a node and whose signatures agree, at most `most` for a class
+    outside its node's leading component."""
     owner = owners.select("id", "component")
     rows = nodes.join(owner, "id", "left").select("path", "id", "n", "leader", F.coalesce("component", "id").alias("own"))
     homes = rows.where("id = leader").select("path", F.col("own").alias("home"))
@@ -166,19 +172,22 @@ def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join) -
     blocks = F.ceil(F.col("n") / join.block).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    inner = rows.select("path", F.explode(every).alias("u"), mine.alias("v"), "id", "own", F.lit(False).alias("asks"), "sig")
-    asks = rows.where("away").select("path", mine.alias("u"), F.explode(every).alias("v"), "id", "own", F.lit(True).alias("asks"), "sig")
+    inner = rows.select("path", F.explode(every).alias("u"), mine.alias("v"), "id", "own", F.lit(False).alias("asks"), "size", "sig")
+    asks = rows.where("away").select("path", mine.alias("u"), F.explode(every).alias("v"), "id", "own", F.lit(True).alias("asks"), "size", "sig")
     dealt = inner.unionAll(asks).repartition("path", "u", "v").sortWithinPartitions("path", "u", "v", "asks")
 
-    def compare(ids: np.ndarray, own: np.ndarray, asks: np.ndarray, sigs: list[bytes]) -> list[tuple[int, int]]:
+    def compare(ids: np.ndarray, own: np.ndarray, asks: np.ndarray, size: np.ndarray, sigs: list[bytes]) -> list[tuple[int, int]]:
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(a) or not len(b):
             return []
         sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, T)
         out = []
         for i in a:
-            near = b[own[b] != own[i]]
-            near = near[(sig[near] == sig[i]).mean(1) >= join.agree]
+            near = b[(own[b] != own[i]) & (100 * np.minimum(size[b], size[i]) >= join.percent * np.maximum(size[b], size[i]))]
+            alike = (sig[near] == sig[i]).mean(1)
+            near, alike = near[alike >= join.agree], alike[alike >= join.agree]
+            if most is not None and len(near) > most:
+                near = near[np.lexsort((ids[near], -alike))[:most]]
             out += [(min(x, y), max(x, y)) for x, y in zip(ids[near].tolist(), [int(ids[i])] * len(near), strict=True)]
         return out
 
@@ -196,11 +205,11 @@ def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join) -
             yield from groups(held, np.empty(0, np.int64))
 
     def groups(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, own, asks = (rows.column(i).to_numpy() for i in (3, 4, 5))
-        sigs = rows.column(6).to_pylist()
+        ids, own, asks, size = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
+        sigs = rows.column(7).to_pylist()
         found: set[tuple[int, int]] = set()
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            found.update(compare(ids[i:j], own[i:j], asks[i:j], sigs[i:j]))
+            found.update(compare(ids[i:j], own[i:j], asks[i:j], size[i:j], sigs[i:j]))
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -210,18 +219,24 @@ def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join) -
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row a document, linked as the module says."""
     known = cut_lineage(signatures(docs, join))
-    classes = cut_lineage(known.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    sigs = classes.select("id", "sig")
+    classes = cut_lineage(known.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")))
+    sigs = classes.select("id", "size", "sig")
     nodes = _nodes(sigs, join)
     star = nodes.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     star = cut_lineage(_agreeing(star, sigs, join))
     sets = cut_lineage(_sets(docs, nodes.select("id").distinct(), join))
     links = cut_lineage(_confirmed(star, sets, join))
     owners = components(links)
-    rest = _rest(nodes, owners, sigs, join).join(star, ["a", "b"], "left_anti")
-    more = cut_lineage(_confirmed(rest, sets, join))
-    if not more.isEmpty():
-        owners = components(links.unionAll(more))
+    tried = star
+    for most in join.rounds:
+        rest = cut_lineage(_rest(nodes, owners, sigs, join, most).join(tried, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            continue
+        more = cut_lineage(_confirmed(rest, sets, join))
+        tried = tried.unionAll(rest)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            owners = components(links)
     named = classes.select("hi", "lo", "id").join(owners, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "doc_id")
     return known.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
