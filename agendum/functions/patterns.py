@@ -17,6 +17,12 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return f"(?iu){out}" if ignore_case else out
 
 
+def plain(pattern: str, ignore_case: bool = True) -> str:
+    """The same pattern for text of ASCII only, where Java's own classes mean the same and are much faster."""
+    out = pattern.replace(r"\s", r"[\s\x1c-\x1f]")
+    return f"(?i){out}" if ignore_case else out
+
+
 # fixed values: cues of the rule-based stages
 TOPIC = r"\b(next (?:item|topic|up)|moving on|let'?s (?:discuss|talk about|move)|agenda item|first item|second item|third item|next agenda|turning to|on the subject of|now (?:for|about)|अगला|अब हम)\b"
 DECISION = r"\b(we (?:have )?(?:decided|agreed|concluded|settled on)|(?:it (?:was|is)|final) (?:decided|decision|agreed)|the decision is|we(?:'| a)re going (?:to|with)|approved|sign(?:ed)? off|we will go with|let'?s go with|तय हुआ|फाइनल है)\b"

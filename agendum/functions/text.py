@@ -59,17 +59,23 @@ def tiered_spans(text: Column) -> Column:
     return F.when((F.size(sentences) > 0) & sparse & (F.size(clauses) > F.size(sentences)), clauses).otherwise(sentences)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def has(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return text.rlike(P.java(pattern, ignore_case))
+    return F.when(is_ascii(text), text.rlike(P.plain(pattern, ignore_case))).otherwise(text.rlike(P.java(pattern, ignore_case)))
+
+
+def group_1(text: Column, pattern: str, ignore_case: bool = True) -> Column:
+    """Group 1 of the first match, which is never empty; null without a match."""
+    found = F.when(is_ascii(text), F.regexp_extract(text, P.plain(pattern, ignore_case), 1)).otherwise(F.regexp_extract(text, P.java(pattern, ignore_case), 1))
+    return F.nullif(found, F.lit(""))
 
 
 def first_group(text: Column, pattern_list) -> Column:
     """Group 1 of the first pattern that matches; null if none does."""
-    found = F.lit(None).cast("string")
-    for pattern, ignore_case in reversed(pattern_list):
-        java = P.java(pattern, ignore_case)
-        found = F.when(text.rlike(java), strip(F.regexp_extract(text, java, 1))).otherwise(found)
-    return found
+    return strip(F.coalesce(*[group_1(text, p, ignore_case) for p, ignore_case in pattern_list]))
 
 
 def owner(text: Column) -> Column:
@@ -80,11 +86,11 @@ def deadline(text: Column) -> Column:
     return first_group(text, [(p, True) for p in P.DEADLINES])
 
 
-def rule_confidence(text: Column, base: float) -> Column:
+def rule_confidence(text: Column, base: float, due: Column | None = None) -> Column:
     """Base, less for hedges and few words, more for many words and a deadline; within 0.05 and 0.95."""
     n = n_words(text)
     score = F.lit(base) - F.when(has(text, P.HEDGE), 0.25).otherwise(0.0)
-    score = score + F.when(n < 5, -0.15).when(n > 12, 0.08).otherwise(0.0) + F.when(deadline(text).isNotNull(), 0.10).otherwise(0.0)
+    score = score + F.when(n < 5, -0.15).when(n > 12, 0.08).otherwise(0.0) + F.when((deadline(text) if due is None else due).isNotNull(), 0.10).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.95), score)), 2)
 
 
@@ -120,9 +126,8 @@ def model_owner(text: Column, codes: Column) -> Column:
     subtags = F.transform(codes, lambda c: F.lower(F.substring_index(c, "-", 1)))
     for code in ("hi", "en"):
         for pattern, ignore_case in reversed(P.LANGUAGE_OWNERS[code]):
-            java = P.java(pattern, ignore_case)
-            name = strip(F.regexp_extract(text, java, 1))
-            fits = text.rlike(java) & ~name.rlike(r"^[A-Z0-9_:\[\]]+$")
+            name = strip(group_1(text, pattern, ignore_case))
+            fits = name.isNotNull() & ~name.rlike(r"^[A-Z0-9_:\[\]]+$")
             found = F.when(fits if code == "en" else fits & F.array_contains(subtags, code), name).otherwise(found)
     return found
 

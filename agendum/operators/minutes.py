@@ -60,10 +60,10 @@ def items(blocks: DataFrame) -> DataFrame:
     """(job_id, position, kind, text, evidence, owner, deadline, confidence): a sentence can be both kinds."""
     each = blocks.select("job_id", "position", F.explode(X.extractor_sentences(F.col("text"))).alias("evidence"))
     s = F.col("evidence")
-    each = each.withColumns({"is_decision": X.has(s, P.DECISION), "is_action": X.has(s, P.ACTION)}).where("is_decision or is_action")
+    each = each.withColumns({"is_decision": X.has(s, P.DECISION), "is_action": X.has(s, P.ACTION)}).where("is_decision or is_action").withColumn("due", X.deadline(s))
     none = F.lit(None).cast("string")
-    decision = F.struct(F.lit("decision").alias("kind"), none.alias("owner"), none.alias("deadline"), X.rule_confidence(s, 0.62).alias("confidence"))
-    action = F.struct(F.lit("action").alias("kind"), X.owner(s).alias("owner"), X.deadline(s).alias("deadline"), X.rule_confidence(s, 0.58).alias("confidence"))
+    decision = F.struct(F.lit("decision").alias("kind"), none.alias("owner"), none.alias("deadline"), X.rule_confidence(s, 0.62, F.col("due")).alias("confidence"))
+    action = F.struct(F.lit("action").alias("kind"), X.owner(s).alias("owner"), F.col("due").alias("deadline"), X.rule_confidence(s, 0.58, F.col("due")).alias("confidence"))
     found = F.filter(F.array(F.when(F.col("is_decision"), decision), F.when(F.col("is_action"), action)), lambda x: x.isNotNull())
     return each.select("job_id", "position", "evidence", F.explode(found).alias("x")).select("job_id", "position", "x.kind", X.normalised(F.col("evidence")).alias("text"), "evidence", "x.owner", "x.deadline", "x.confidence")
 

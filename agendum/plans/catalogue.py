@@ -467,7 +467,7 @@ def _word_pairs(spark, folder):
 @query()
 def wer_alignment(spark, folder):
     """Substitutions, deletions and insertions of each turn; their sum must be the distance that Spark finds alone."""
-    rows = _word_pairs(spark, folder).withColumns({"e": E.word_errors(F.col("ref"), F.col("hyp")), "distance": E.word_distance(F.col("ref"), F.col("hyp"))})
+    rows = E.word_distances(_word_pairs(spark, folder), "ref", "hyp").withColumn("e", E.word_errors(F.col("ref"), F.col("hyp")))
     edits = F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")
     return rows.select("conv_id", "turn", "e.*", "distance", E.word_error_rate(F.col("e.ref_words"), edits).alias("wer"))
 

@@ -16,7 +16,10 @@ def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, kind, size, sha256, accepted, reason) of files, one row a file."""
+    """(path, name, kind, size, sha256, accepted, reason) of files, one row a file.
+
+    Spark lists no file of 0 bytes, so those have no row; a transcript of white space alone is `empty`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select("path", name.alias("name"), X.upload_kind(name).alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
