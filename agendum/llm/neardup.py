@@ -10,8 +10,7 @@ independent trees find a pair at the threshold with a probability of over 0.999,
 Nodes are compared in two steps, so that a crowd of near copies never becomes all its pairs. First each class is held
 against one leader of its node, and confirmed links give components. Then only classes outside their node's leading
 component are held against the rest of the node, in blocks of bounded size, skipping pairs that are linked already:
-in rounds, each proposing for a class only the 2, then 16 pairs in a node whose signatures agree best, and at last all
-that are left. Links found in a round make most of the next one's pairs needless.
+in rounds, each proposing for a class first the 8 pairs in a node whose signatures agree best, then all that are left. Links found in a round make most of the next one's pairs needless.
 Signatures only propose pairs; every link is confirmed on the full shingle sets.
 
 Defined results: null or blank texts have no shingles and link with nothing; fewer than five words are one shingle;
@@ -48,10 +47,12 @@ class Join:
     trees: int = 12
     first_depth: int = 4
     last_depth: int = 8
+    #: Levels that large nodes branch at a time.
+    step: int = 4
     leaf: int = 64
     block: int = 2048
     #: Pairs that a round proposes for a class in a node; the last round, without a limit, proposes all.
-    rounds: tuple[int | None, ...] = (2, 16, None)
+    rounds: tuple[int | None, ...] = (8, None)
     #: Pairs whose signatures agree less are not confirmed: 4.5 standard deviations below 0.85.
     agree: float = 0.75
 
@@ -114,9 +115,9 @@ def _nodes(classes: DataFrame, join: Join) -> DataFrame:
         if last or (large := found.where(F.col("n") > join.leaf)).isEmpty():
             return done
         rows = large.select("path", "id").join(classes, "id").select("path", "id", "sig")
-        for _ in range(2):
+        for _ in range(join.step):
             rows = _branch(rows, join.percent)
-        depth += 2
+        depth += join.step
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
