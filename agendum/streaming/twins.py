@@ -11,7 +11,8 @@ POLL = "2 seconds"
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
 
 
 def windowed_rate(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
