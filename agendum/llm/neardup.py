@@ -10,7 +10,9 @@ independent trees find a pair at the threshold with a probability of over 0.999,
 Nodes are compared in two steps, so that a crowd of near copies never becomes all its pairs. First each class is held
 against one leader of its node, and confirmed links give components. Then only classes outside their node's leading
 component are held against the rest of the node, in blocks of bounded size, skipping pairs that are linked already:
-in rounds, each proposing for a class first the 8 pairs in a node whose signatures agree best, then all that are left. Links found in a round make most of the next one's pairs needless.
+first only the pairs of a spanning forest of each block, most alike first, then all that are left. Links found in the
+first round make most of the second one's pairs needless, and the parities of the sets' hashes (an exact bound on what
+two sets don't share) rule out most of the unlinked ones before they leave their block.
 Signatures only propose pairs; every link is confirmed on the full shingle sets.
 
 Defined results: null or blank texts have no shingles and link with nothing; fewer than five words are one shingle;
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from agendum.llm.common import cut_lineage, utf8
 from agendum.llm.components import components
-from agendum.llm.wordhash import shingles
+from agendum.llm.wordhash import mix, shingles
 
 #: Minwise values in a signature.
 T = 256
+#: Residues whose parities are compared.
+BITS = 2048
 _RNG = np.random.default_rng(85)
 _TIMES = (_RNG.integers(0, 1 << 31, T, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _PLUS = _RNG.integers(0, 1 << 32, T, dtype=np.uint32)[:, None]
@@ -51,8 +55,8 @@ class Join:
     step: int = 4
     leaf: int = 64
     block: int = 2048
-    #: Pairs that a round proposes for a class in a node; the last round, without a limit, proposes all.
-    rounds: tuple[int | None, ...] = (8, None)
+    #: Whether a round proposes every pair that is left, as the last one must, or a spanning forest of each block.
+    rounds: tuple[bool, ...] = (False, True)
     #: Pairs whose signatures agree less are not confirmed: 4.5 standard deviations below 0.85.
     agree: float = 0.75
 
@@ -133,15 +137,22 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     return pairs.join(sig["a"], "a").join(sig["b"], "b").where(near).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of BITS residues, whether an odd number of hashes has it. Where the parities of two sets differ, the sets
+    do, so the number of differing ones is never above the size of the symmetric difference."""
+    return np.packbits((np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
 def _sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
-    """(id, words): the full shingle sets of the documents named by ids."""
+    """(id, words, odd): the full shingle sets of the documents named by ids, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, join.words).tobytes() for x in utf8(batch.column(1))], pa.binary())], ["id", "words"])
+            found = [shingles(x, join.words) for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(list(map(parities, found)), pa.binary())], ["id", "words", "odd"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, words binary").dropDuplicates(["id"])
+    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, words binary, odd binary").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -162,35 +173,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return pairs.join(own["a"], "a").join(own["b"], "b").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join, most: int | None) -> DataFrame:
-    """Pairs (a, b) of different components that share a node and whose signatures agree, at most `most` for a class
-    outside its node's leading component."""
+def _forest(x: np.ndarray, y: np.ndarray, alike: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Of the pairs between components x and y, the places of those of a spanning forest, most alike first (Boruvka's rule)."""
+    order = np.lexsort((tie, -alike))
+    names, ends = np.unique(np.concatenate((x[order], y[order])), return_inverse=True)
+    x, y = ends[: len(order)], ends[len(order) :]
+    root, taken = np.arange(len(names)), []
+    while len(x):
+        best = np.full(len(names), len(x))
+        np.minimum.at(best, x, np.arange(len(x)))
+        np.minimum.at(best, y, np.arange(len(y)))
+        picked = np.unique(best[best < len(x)])
+        taken.append(order[picked])
+        for a, b in zip(x[picked].tolist(), y[picked].tolist(), strict=True):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+        x, y = root[x], root[y]
+        order, x, y = order[x != y], x[x != y], y[x != y]
+    return np.concatenate(taken) if taken else np.empty(0, np.int64)
+
+
+def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, sets: DataFrame, join: Join, every_pair: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a node, whose signatures agree and whose parities don't rule a
+    link out, one end outside the node's leading component: all of them, or a spanning forest of each block."""
     owner = owners.select("id", "component")
     rows = nodes.join(owner, "id", "left").select("path", "id", "n", "leader", F.coalesce("component", "id").alias("own"))
     homes = rows.where("id = leader").select("path", F.col("own").alias("home"))
     mixed = rows.groupBy("path").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("path").join(homes, "path")
-    rows = rows.join(mixed, "path").select("path", "id", "own", "n", (F.col("own") != F.col("home")).alias("away")).join(classes, "id")
+    rows = rows.join(mixed, "path").select("path", "id", "own", "n", (F.col("own") != F.col("home")).alias("away")).join(classes, "id").join(sets.select("id", "odd"), "id")
     blocks = F.ceil(F.col("n") / join.block).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    inner = rows.select("path", F.explode(every).alias("u"), mine.alias("v"), "id", "own", F.lit(False).alias("asks"), "size", "sig")
-    asks = rows.where("away").select("path", mine.alias("u"), F.explode(every).alias("v"), "id", "own", F.lit(True).alias("asks"), "size", "sig")
+    inner = rows.select("path", F.explode(every).alias("u"), mine.alias("v"), "id", "own", F.lit(False).alias("asks"), "size", "sig", "odd")
+    asks = rows.where("away").select("path", mine.alias("u"), F.explode(every).alias("v"), "id", "own", F.lit(True).alias("asks"), "size", "sig", "odd")
     dealt = inner.unionAll(asks).repartition("path", "u", "v").sortWithinPartitions("path", "u", "v", "asks")
 
-    def compare(ids: np.ndarray, own: np.ndarray, asks: np.ndarray, size: np.ndarray, sigs: list[bytes]) -> list[tuple[int, int]]:
+    def compare(ids: np.ndarray, own: np.ndarray, asks: np.ndarray, size: np.ndarray, sigs: list[bytes], odds: list[bytes]) -> list[tuple[int, int]]:
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(a) or not len(b):
             return []
         sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, T)
-        out = []
+        odd = np.frombuffer(b"".join(odds), np.uint64).reshape(len(odds), -1)
+        asking, asked, how = [], [], []
         for i in a:
             near = b[(own[b] != own[i]) & (100 * np.minimum(size[b], size[i]) >= join.percent * np.maximum(size[b], size[i]))]
             alike = (sig[near] == sig[i]).mean(1)
-            near, alike = near[alike >= join.agree], alike[alike >= join.agree]
-            if most is not None and len(near) > most:
-                near = near[np.lexsort((ids[near], -alike))[:most]]
-            out += [(min(x, y), max(x, y)) for x, y in zip(ids[near].tolist(), [int(ids[i])] * len(near), strict=True)]
-        return out
+            unlike = np.bitwise_count(odd[near] ^ odd[i]).sum(1, dtype=np.int64)
+            keep = (alike >= join.agree) & ((100 + join.percent) * unlike <= (100 - join.percent) * (size[near] + size[i]))
+            near, alike = near[keep], alike[keep]
+            asking.append(np.full(len(near), i))
+            asked.append(near)
+            how.append(alike)
+        i, j, alike = np.concatenate(asking), np.concatenate(asked), np.concatenate(how)
+        least, most = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        if not every_pair:
+            keep = _forest(own[i], own[j], alike, mix(least.astype(np.uint64) + mix(most.astype(np.uint64))))
+            least, most = least[keep], most[keep]
+        return list(zip(least.tolist(), most.tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -207,14 +251,14 @@ def _rest(nodes: DataFrame, owners: DataFrame, classes: DataFrame, join: Join, m
 
     def groups(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, own, asks, size = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
-        sigs = rows.column(7).to_pylist()
+        sigs, odds = rows.column(7).to_pylist(), rows.column(8).to_pylist()
         found: set[tuple[int, int]] = set()
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            found.update(compare(ids[i:j], own[i:j], asks[i:j], size[i:j], sigs[i:j]))
+            found.update(compare(ids[i:j], own[i:j], asks[i:j], size[i:j], sigs[i:j], odds[i:j]))
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -229,8 +273,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     links = cut_lineage(_confirmed(star, sets, join))
     owners = components(links)
     tried = star
-    for most in join.rounds:
-        rest = cut_lineage(_rest(nodes, owners, sigs, join, most).join(tried, ["a", "b"], "left_anti"))
+    for every_pair in join.rounds:
+        rest = cut_lineage(_rest(nodes, owners, sigs, sets, join, every_pair).distinct().join(tried, ["a", "b"], "left_anti"))
         if rest.isEmpty():
             continue
         more = cut_lineage(_confirmed(rest, sets, join))

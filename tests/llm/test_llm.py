@@ -198,6 +198,35 @@ def brute_components(rows, percent=85):
     return {i: root(i) for i in owner}
 
 
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 3000):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for own in (0, 1, 7, 900):
+            x, y = (np.concatenate((both, rng.integers(0, 1 << 63, own, dtype=np.uint64))) for _ in "ab")
+            odd = [np.frombuffer(neardup.parities(z), np.uint64) for z in (x, y)]
+            differ = int(np.bitwise_count(odd[0] ^ odd[1]).sum(dtype=np.int64))
+            assert differ <= 2 * own and (differ == 0) == (own == 0)
+
+
+def test_forest_joins_what_its_pairs_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((2, 1), (30, 20), (30, 400), (5, 0)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        x, y = x[x != y], y[x != y]
+        kept = neardup._forest(x, y, rng.integers(0, 3, len(x)) / 3, np.arange(len(x)))
+
+        def parts(pairs):
+            root = list(range(n))
+            for a, b in pairs:
+                a, b = root[a], root[b]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            return root
+
+        assert parts(zip(x[kept], y[kept])) == parts(zip(x, y))
+        assert len(kept) == n - len(set(parts(zip(x, y))))
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]
