@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from agendum.functions import text as X
 from agendum.operators import documents, evaluate, governance, minutes, privacy, speakers, vectors
+from agendum.plans import catalogue
 from agendum.sources import readers, writers
 from agendum.streaming import twins
 
@@ -66,6 +67,38 @@ def test_injections(spark):
     assert one(spark, lambda t: privacy.worst(privacy.injection_rules(t)), text) == "high"
 
 
+def test_matches_equal_the_loop(spark):
+    rng = random.Random(4)
+    item = lambda: " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 4)))
+    sides = [{s: [(i, item()) for i in rng.sample(range(30), rng.randint(0, 9))] for s in map(str, range(40))} for _ in "pg"]
+    want = []
+    for s in sides[0]:
+        free = dict(sides[1][s])
+        for p, text in sorted(sides[0][s]):
+            a, best = set(text.split()), None
+            for g in sorted(free):
+                b = set(free[g].split())
+                score = len(a & b) / len(a | b) if a and b else 0.0
+                if score >= 0.5 and (best is None or score > best[0]):
+                    best = (score, g)
+            if best:
+                want.append((s, p, best[1]))
+                del free[best[1]]
+    predicted, gold = (spark.createDataFrame([(s, i, x) for s, items in side.items() for i, x in items], f"scenario string, {n} int, text string").repartition(3) for n, side in zip("pg", sides, strict=True))
+    assert sorted(map(tuple, evaluate.matched(predicted, gold).collect())) == sorted(want)
+
+
+def test_every_meeting_is_matched(spark):
+    from conftest import SF
+
+    meetings = catalogue.lines(spark, SF).where("i % 3 > 0 or i % 4 > 0")
+    want = {(str(r["job_id"]), r["p"], r["g"]) for r in meetings.groupBy("job_id").agg(F.count_if(F.expr("i % 3 > 0")).alias("p"), F.count_if(F.expr("i % 4 > 0")).alias("g")).collect()}
+    counts = catalogue.greedy_match(spark, SF).collect()
+    assert {(r["scenario"], r["tp"] + r["fp"], r["tp"] + r["fn"]) for r in counts} == want
+    found = {(r["scenario"], r["kind"]): r["count"] for r in catalogue.match_errors(spark, SF).groupBy("scenario", "kind").count().collect()}
+    assert found == {(r["scenario"], kind): r[n] for r in counts for kind, n in (("false_positive", "fp"), ("false_negative", "fn")) if r[n]}
+
+
 def test_word_errors():
     assert evaluate.alignment("a b c", "a x c d") == (3, 1, 0, 1)
     assert evaluate.alignment("", "a b") == (0, 0, 0, 2) and evaluate.alignment("a b", "") == (2, 0, 2, 0)
