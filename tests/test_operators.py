@@ -104,6 +104,35 @@ def test_word_errors():
     assert evaluate.alignment("", "a b") == (0, 0, 0, 2) and evaluate.alignment("a b", "") == (2, 0, 2, 0)
 
 
+def test_alignment_equals_the_full_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        ref = [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
+        hyp = [rng.choice("abcd") for _ in range(rng.randint(0, 40))] if rng.random() < 0.5 else [w for w in ref for w in rng.choice(([w], [w], [w, "a"], ["b"], []))]
+        cost = {(i, j): i + j for i in range(len(ref) + 1) for j in range(len(hyp) + 1) if not i or not j}
+        for i in range(1, len(ref) + 1):
+            for j in range(1, len(hyp) + 1):
+                cost[i, j] = min(cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+        i, j, n = len(ref), len(hyp), [0, 0, 0]
+        while i and j:
+            if ref[i - 1] == hyp[j - 1]:
+                i, j = i - 1, j - 1
+            else:
+                k = next(k for k, c in enumerate(((i - 1, j - 1), (i - 1, j), (i, j - 1))) if cost[c] + 1 == cost[i, j])
+                i, j, n[k] = i - (k != 2), j - (k != 1), n[k] + 1
+        assert evaluate.alignment(" ".join(ref), " ".join(hyp)) == (len(ref), n[0], n[1] + i, n[2] + j)
+
+
+def test_whole_turns_are_aligned(spark):
+    from conftest import SF
+
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    assert any(len(t or "") > 400 for t in turns.values())
+    for r in catalogue.wer_alignment(spark, SF).collect():
+        inserted = (turns[r["conv_id"], r["turn"]] or "").count(" the ")
+        assert (r["substitutions"], r["deletions"], r["insertions"]) == (0, 0, inserted) and r["distance"] == inserted
+
+
 def test_speakers(spark):
     turns = spark.createDataFrame([(1, 1, 0.0, 2.0, "A"), (1, 2, 20.0, 22.0, "B")], "job_id long, turn int, start double, end double, label string")
     segments = spark.createDataFrame([(1, 1, 3.0, 4.0), (1, 2, 19.0, 21.0), (2, 1, 0.0, 1.0)], "job_id long, seg int, start double, end double")
