@@ -20,17 +20,49 @@ def renumbered(turns: DataFrame) -> DataFrame:
 def assign(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """(job_id, seg, speaker): the turn that overlaps most, else the nearest by middle, else SPEAKER_00.
 
-    Ties go to the earlier turn. Segments meet turns of their own job only, and the best turn is taken by an aggregate,
-    so nothing is sorted or kept for a segment but one turn.
+    Ties go to the earlier turn. Time is cut into buckets as wide as the longer of the mean lengths of segments and
+    turns, so that neither side has more than three rows for one in all, and a job's size doesn't show in a bucket's.
     """
     named = renumbered(turns).select("job_id", "turn", F.col("start").alias("t0"), F.col("end").alias("t1"), "speaker")
-    rows = segments.select("job_id", "seg", "start", "end").join(named, "job_id", "left")
+    pieces = segments.select("job_id", "seg", "start", "end")
+    mean = lambda rows, x, y: rows.where(F.col(y) > F.col(x)).agg(F.avg(F.col(y) - F.col(x)).alias("width"))
+    width = F.broadcast(mean(pieces, "start", "end").unionAll(mean(turns, "start", "end")).agg(F.coalesce(F.max("width"), F.lit(1.0)).alias("width")))
+    best, near = _overlapping(pieces, named, width), _nearest(pieces, named, width)
+    found = pieces.select("job_id", "seg").distinct().join(best, ["job_id", "seg"], "left").join(near, ["job_id", "seg"], "left")
+    return found.select("job_id", "seg", F.coalesce("best.s", "near.s", F.lit("SPEAKER_00")).alias("speaker"))
+
+
+def _overlapping(pieces: DataFrame, named: DataFrame, width: DataFrame) -> DataFrame:
+    """(job_id, seg, best): the turn that overlaps most; pieces meet the turns of their buckets."""
+    bucket = lambda x: F.floor(F.col(x) / F.col("width"))
+    cut = lambda rows, x, y: rows.where(F.col(y) > F.col(x)).crossJoin(width).withColumn("bucket", F.explode(F.sequence(bucket(x), bucket(y)))).drop("width")
     overlap = F.least("end", "t1") - F.greatest("start", "t0")
-    middle = (F.col("start") + F.col("end")) / 2
-    gap = F.least(F.abs(middle - F.col("t0")), F.abs(middle - F.col("t1")))
-    best = F.max(F.when(overlap > 0, F.struct(overlap.alias("o"), (-F.col("turn")).alias("t"), F.col("speaker").alias("s"))))
-    near = F.min(F.when(F.col("turn").isNotNull(), F.struct(gap.alias("g"), F.col("turn").alias("t"), F.col("speaker").alias("s"))))
-    return rows.groupBy("job_id", "seg").agg(best.alias("best"), near.alias("near")).select("job_id", "seg", F.coalesce("best.s", "near.s", F.lit("SPEAKER_00")).alias("speaker"))
+    met = cut(pieces, "start", "end").join(cut(named, "t0", "t1"), ["job_id", "bucket"]).where(overlap > 0)
+    return met.groupBy("job_id", "seg").agg(F.max(F.struct(overlap.alias("o"), (-F.col("turn")).alias("t"), F.col("speaker").alias("s"))).alias("best"))
+
+
+def _nearest(pieces: DataFrame, named: DataFrame, width: DataFrame) -> DataFrame:
+    """(job_id, seg, near): the turn with the end nearest the piece's middle, which is the last end before it or the
+    first after it: in its own bucket, laid in order, or in the closest one that has any, by the ends of each bucket.
+    """
+    ends = named.select("job_id", "turn", "speaker", F.explode(F.array("t0", "t1")).alias("x"))
+    ends = ends.groupBy("job_id", "x").agg(F.min(F.struct(F.col("turn").alias("t"), F.col("speaker").alias("s"))).alias("own"))
+    middles = pieces.select("job_id", ((F.col("start") + F.col("end")) / 2).alias("x"), "seg")
+    points = ends.withColumns({"seg": F.lit(None).cast(pieces.schema["seg"].dataType), "place": F.struct("x", "own")}).unionByName(middles, allowMissingColumns=True)
+    points = points.crossJoin(width).withColumn("bucket", F.floor(F.col("x") / F.col("width")))
+    # the frames run from the start, as Spark fills those that run to the end anew for every row
+    each = points.groupBy("job_id", "bucket").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    by_bucket = Window.partitionBy("job_id")
+    before = F.last("high", ignorenulls=True).over(by_bucket.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("low", ignorenulls=True).over(by_bucket.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("job_id", "bucket", before.alias("before"), after.alias("after"))
+    in_bucket = Window.partitionBy("job_id", "bucket")
+    upto = F.last("place", ignorenulls=True).over(in_bucket.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    since = F.last("place", ignorenulls=True).over(in_bucket.orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sides = points.withColumns({"upto": upto, "since": since}).where(F.col("seg").isNotNull()).join(each, ["job_id", "bucket"])
+    gap = lambda p: F.when(p.isNotNull(), F.struct(F.abs(F.col("x") - p["x"]).alias("g"), p["own"]["t"].alias("t"), p["own"]["s"].alias("s")))
+    near = F.least(gap(F.coalesce("upto", "before")), gap(F.coalesce("since", "after")))
+    return sides.groupBy("job_id", "seg").agg(F.min(near).alias("near"))
 
 
 def windows(jobs: DataFrame, chunk: float = 600.0, overlap: float = 2.0) -> DataFrame:

@@ -311,13 +311,17 @@ def turns(spark, folder):
     return e.select(F.col("user_id").alias("job_id"), n.alias("turn"), F.col("s").alias("start"), (F.col("s") + 3600 + F.col("event_id") % 7200).alias("end"), F.col("event_type").alias("label"))
 
 
+def segments(spark, folder):
+    """(job_id, seg, start, end): a segment an event."""
+    e = t(spark, folder, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seg"), (F.col("s") + 1800).alias("start"), (F.col("s") + 2400 + F.col("event_id") % 9000).alias("end"))
+
+
 @query(f"""WITH {TURNS_SQL}, j AS (SELECT g.job_id, seg, turn, speaker, least(g."end", t."end") - greatest(g."start", t."start") AS o, least(abs((g."start" + g."end") / 2 - t."start"), abs((g."start" + g."end") / 2 - t."end")) AS gap FROM g JOIN t USING (job_id) JOIN s USING (job_id, label)),
   b AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN o > 0 THEN 0 ELSE 1 END, CASE WHEN o > 0 THEN -o ELSE gap END, turn) AS n FROM j) SELECT job_id, seg, speaker FROM b WHERE n = 1""")
 def segment_speakers(spark, folder):
     """Most overlapping turn, else the nearest."""
-    e = t(spark, folder, "events").where("event_id % 5 = 0").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    segments = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seg"), (F.col("s") + 1800).alias("start"), (F.col("s") + 2400 + F.col("event_id") % 9000).alias("end"))
-    return S.assign(segments, turns(spark, folder))
+    return S.assign(segments(spark, folder).where("seg % 5 = 0"), turns(spark, folder))
 
 
 @query("""SELECT c_custkey AS job_id, k::BIGINT AS k, (k * 598.0)::DOUBLE AS start, CASE WHEN k > 0 THEN k * 598.0 + 1 ELSE 0 END::DOUBLE AS keep_from FROM (SELECT c_custkey, unnest(range(0, greatest(1, ceil((abs(c_acctbal) + 10) / 598.0))::BIGINT)) AS k FROM customer)""")

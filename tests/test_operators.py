@@ -140,6 +140,33 @@ def test_speakers(spark):
     assert got == {(1, 1): "SPEAKER_00", (1, 2): "SPEAKER_01", (2, 1): "SPEAKER_00"}
 
 
+def test_every_segment_gets_the_speaker_of_all_pairs(spark, duck):
+    from conftest import SF, same_rows
+
+    everything = catalogue.ORACLES["segment_speakers"].replace(" WHERE event_id % 5 = 0", "")
+    same_rows(speakers.assign(catalogue.segments(spark, SF), catalogue.turns(spark, SF)), duck, everything)
+
+
+def test_speakers_of_a_large_job_without_all_pairs(spark):
+    rng = random.Random(6)
+    for n, span in ((60, 40), (60, 2000), (3, 9)):
+        turns = [(j, i, float(s), float(s + rng.choice((0, 1, 5, 300)))) for j in range(6) for i, s in enumerate(rng.choices(range(span), k=n))]
+        pieces = [(j, i, float(s), float(s + rng.choice((0, 1, 2, 7, 90)))) for j in range(7) for i, s in enumerate(rng.choices(range(-50, span + 50), k=n))]
+        names = {(j, t): f"L{t}" for j, t, _, _ in turns}
+        first = {j: sorted((s, t) for k, t, s, _ in turns if k == j) for j in range(7)}
+        want = set()
+        for j, i, a, b in pieces:
+            own = [(-(min(b, y) - max(a, x)), t, min(abs((a + b) / 2 - x), abs((a + b) / 2 - y))) for k, t, x, y in turns if k == j]
+            over = sorted((o, t) for o, t, _ in own if o < 0) or sorted((g, t) for _, t, g in own)
+            want.add((j, i, f"SPEAKER_{[t for _, t in first[j]].index(over[0][1]):02d}" if over else "SPEAKER_00"))
+        made = speakers.assign(spark.createDataFrame(pieces, "job_id long, seg int, start double, end double"), spark.createDataFrame([(j, t, x, y, names[j, t]) for j, t, x, y in turns], "job_id long, turn int, start double, end double, label string"))
+        assert set(map(tuple, made.collect())) == want
+    # one job of 20,000 turns and segments; all pairs would be 400 million rows
+    big = spark.range(20_000).select(F.lit(1).alias("job_id"), F.col("id").alias("seg"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 4).alias("end"))
+    joined = speakers.assign(big, big.select("job_id", F.col("seg").alias("turn"), (F.col("start") + 1).alias("start"), "end", (F.col("seg") % 3).cast("string").alias("label")))
+    assert joined.where(F.col("speaker") != F.format_string("SPEAKER_%02d", F.col("seg") % 3)).count() == 0
+
+
 def test_cuts_keep_shortest_and_longest(spark):
     rows = [(1, i, 0.9, 0.5) for i in range(25)]
     got = vectors.cuts(spark.createDataFrame(rows, "job_id long, i long, sim double, threshold double")).collect()
