@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-`pivots` vectors, those of least hash, are the reference points. Every vector is represented by its `prefix` nearest
-pivots in order, and filed under the nearest. A query opens the files of its own `probe` nearest pivots, ranks what is
+`pivots` vectors are the reference points: of the `sample` vectors of least hash, each next pivot is the one farthest
+from those before it, so that a crowded region gets no more of them than its extent asks for. The sample only places
+pivots; every vector is indexed and can be found. Every vector is represented by its `prefix` nearest pivots in order, and filed under the nearest. A query opens the files of its own `probe` nearest pivots, ranks what is
 in them by the footrule distance of the two permutations (cut at `prefix`), and reranks the best `share` of each block
 by the exact inner product in double precision. Files are laid into blocks of at most `block` vectors (a larger file
 is split over several), queries into blocks too, so no task's input grows with the table.
@@ -38,6 +39,7 @@ class Index:
     share: float = 0.25
     block: int = 16_384
     queries: int = 4096
+    sample: int = 4096
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -48,6 +50,16 @@ def usable(rows: DataFrame) -> DataFrame:
     return kept.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to n of the unit vectors x, farthest first, from the first of them."""
+    gap, chosen = np.full(len(x), np.inf), []
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, 2 - 2 * (x @ x[chosen[-1]]))
+        gap[chosen] = -np.inf
+    return x[chosen]
+
+
 def _permuted(rows: DataFrame, pivots: np.ndarray, longest: float, stored: bool, index: Index) -> DataFrame:
     """Adds `near`, the ordered numbers of the prefix nearest pivots, and for queries those to open."""
     n = min(len(pivots), index.prefix if stored else max(index.prefix, index.probe))
@@ -124,9 +136,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, index: Index = Index
     distinct = cut_lineage(members.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "vector"))
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     longest = float(np.sqrt(distinct.agg(F.max(square)).first()[0]))
-    chosen = np.array([r[0] for r in distinct.orderBy(F.xxhash64("vector"), "rep").limit(index.pivots).select("vector").collect()])
+    chosen = np.array([r[0] for r in distinct.orderBy(F.xxhash64("vector"), "rep").limit(max(index.pivots, index.sample)).select("vector").collect()])
     extra = np.sqrt(np.maximum(longest**2 - (chosen * chosen).sum(1), 0))
-    pivots = np.column_stack((chosen, extra)) / max(longest, 1e-300)
+    pivots = _spread(np.column_stack((chosen, extra)) / max(longest, 1e-300), index.pivots)
     stored = cut_lineage(_permuted(distinct.select("rep", "vector"), pivots, longest, True, index).withColumn("file", F.col("near")[0].cast("int")))
     homes, blocks = _layout({r["file"]: r["count"] for r in stored.groupBy("file").count().collect()}, index)  # a row a pivot
     home = F.array(*[F.array(*map(F.lit, h)) if h else F.array().cast("array<int>") for h in homes])

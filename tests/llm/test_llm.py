@@ -373,3 +373,25 @@ def neardup_by_words(rows):
     """brute_components() over the contract's white space."""
     spaces = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
     return brute_components([(i, "".join(c.lower() if c < "\x80" else c for c in t).translate(spaces) if t else t) for i, t in rows])
+
+
+@pytest.mark.parametrize("kind", ["hot", "lengths"])
+def test_recall_on_skewed_vectors(spark, kind):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hot = np.zeros(len(x), bool)
+    if kind == "hot":
+        hot = np.arange(len(x)) % 3 == 0
+        x[hot] = x[0] + 0.05 * r.normal(size=(hot.sum(), 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    else:
+        x *= r.lognormal(0, 1, len(x))[:, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for row in nearest.nearest(rows, F.col("vec_id") % 67 == 0).collect():
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    recall = {q: len(found[q] & set([i for i in np.argsort(-(x @ x[q]))[:21].tolist() if i != q][:20])) / 20 for q in range(0, len(x), 67)}
+    outside = np.mean([v for q, v in recall.items() if not hot[q]])
+    print(kind, "recall", np.mean(list(recall.values())), "outside the hot cluster", outside)
+    assert np.mean(list(recall.values())) >= 0.9 and outside >= 0.9
