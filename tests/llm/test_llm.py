@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
-from agendum.llm import bpe, chat, components, gif, langid, nearest, neardup, packing, quality, queries, tokencount, urlfilter, vocab, wordhash
+from agendum.llm import bpe, chat, common, components, gif, langid, nearest, neardup, packing, quality, queries, tokencount, urlfilter, vocab, wordhash
 
 EDGE = [(1, "plain text of seven words in all"), (2, ""), (3, None), (4, " \n\t "), (5, "é🙂 日本語 \x85\x1c <|endoftext|> don't"), (6, "word " * 20000), (6, "word " * 20000), (None, "no id")]
 
@@ -125,7 +125,7 @@ def test_languages(spark):
 
 def test_code_lengths_equal_brute_force():
     samples = {"a": [b"abracadabra abba", b"cab"], "b": [b"xyzzy abba"]}
-    trees = langid.Trees(samples)
+    trees = langid.Trees({x: langid.counted(texts) for x, texts in samples.items()})
     counts = {x: {} for x in samples}
     for x, texts in samples.items():
         for text in texts:
@@ -247,9 +247,16 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
-    got = {r["id"]: r["component"] for r in components.components(links).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
-    assert components.components(links.limit(0)).count() == 0
+    found = lambda rows: {r["id"]: r["component"] for r in components.components(rows, common.Workspace(spark)).collect()}
+    assert found(links) == {**{i: 0 for i in range(1, 41)}, 101: 100}
+    assert found(links.limit(0)) == {}
+    rng = random.Random(12)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(7, i) for i in range(500, 900)]
+    owner = list(range(900))
+    for a, b in pairs:
+        x, y = sorted((owner[a], owner[b]))
+        owner = [x if o == y else o for o in owner]
+    assert found(spark.createDataFrame(pairs, "a long, b long").repartition(7)) == {i: o for i, o in enumerate(owner) if i != o}
 
 
 def test_shingles_span_pieces():
