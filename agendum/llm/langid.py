@@ -8,11 +8,15 @@ exact code length in a language is the sum over all its bytes, taken by table lo
 learning are priced beforehand, others when they occur. The shortest code wins (ties: the smaller name); the score is
 the posterior probability of the winner for texts of equal prior.
 
-Learning takes a bounded sample: about `sample` rows a language by a hash of the id, of at most `most_langs` languages
-(the most frequent). Everything else is over all rows and whole texts.
+Learning takes a bounded sample: of each language the `sample` texts whose ids have the least hashes, fewer where there
+are so many languages that all together would pass `all_langs`, but `least` at any rate. Every language is learned. The
+texts are counted on the executors; the driver gets counts of 4-grams. Of every four texts one is kept from learning, to
+find how many bits a byte a text of the language takes: one that takes far more (`fits` is false) is in none of the
+learned languages, or noise. Everything else is over all rows and whole texts.
 
 Defined results: null text, or text without a letter, gives `und` and score 0; with nothing to learn from, every text
-does; repeated rows give repeated results; null ids are never learned from, and keep a null `held_out`.
+does; bytes that aren't UTF-8 are read as U+FFFD; repeated rows give repeated results; null ids are never learned from,
+keep a null `held_out`, and are filtered by their texts like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from agendum.llm.common import by_bytes, id_crc, unit_hash, utf8
+from agendum.llm.common import Workspace, by_bytes, id_crc, text_of, unit_hash, utf8
 
 ORDER = 3
 UNKNOWN = "und"
@@ -81,15 +85,35 @@ class _Order:
         return at, table[at] == keys
 
 
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> Counts:
+    """Equal keys as one, in order, with their counts added."""
+    out, where = np.unique(keys, return_inverse=True)
+    return out, np.bincount(where, counts, len(out)).astype(np.int64)
+
+
+def counted(texts: list[bytes]) -> Counts:
+    """The 4-grams of texts with their counts, in pieces of bounded memory."""
+    found = (np.empty(0, np.uint32), np.empty(0, np.int64))
+    for text in texts:
+        data = lowered(text)
+        for i in range(ORDER, len(data), 1 << 20):
+            keys = grams(data[i - ORDER : i + (1 << 20)], ORDER + 1)
+            found = summed(np.concatenate((found[0], keys)), np.concatenate((found[1], np.ones(len(keys), np.int64))))
+    return found
+
+
 class Trees:
-    """The frozen context trees of all languages."""
+    """The frozen context trees of all languages, from the counts of their 4-grams, whose ends count the shorter ones."""
 
-    def __init__(self, samples: dict[str, list[bytes]]):
-        self.langs = sorted(samples)
-        data = [[lowered(t) for t in samples[x]] for x in self.langs]
-        self.orders = [_Order([np.unique(np.concatenate([grams(d, o + 1) for d in docs]), return_counts=True) for docs in data]) for o in range(ORDER + 1)]
+    def __init__(self, counts: dict[str, Counts]):
+        self.langs = sorted(counts)
+        self.orders = [_Order([summed(keys & np.uint32((1 << 8 * (o + 1)) - 1), n) for keys, n in map(counts.get, self.langs)]) for o in range(ORDER + 1)]
         self.keys = self.orders[ORDER].events
         self.costs = self._price(self.keys)
+        self.most = np.full(len(self.langs), np.inf)
         self._slots = None
 
     def _price(self, keys: np.ndarray) -> np.ndarray:
@@ -135,12 +159,13 @@ class Trees:
             bits += np.bincount(at, minlength=1) @ self.costs[: int(at.max()) + 1] if len(at) > len(self.keys) else self.costs[at].sum(0)
         return bits
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
+    def predict(self, text: bytes | None) -> tuple[str, float, bool]:
+        """The language, its posterior, and whether the text takes no more bits than texts of that language do."""
         if not self.langs or text is None or not _LETTER.search(text.decode("utf-8", "replace")):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         bits = self.code_lengths(text)
         best = int(np.argmin(bits))
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
+        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()), bool(bits[best] <= self.most[best] * len(text) + SLACK)
 
 
 class NoTrees(Trees):
@@ -152,26 +177,63 @@ class NoTrees(Trees):
 class Sample:
     """Bounds of what is learned from."""
 
-    sample: int = 400
-    most_langs: int = 200
+    sample: int = 500
+    all_langs: int = 8000
+    least: int = 8
+
+
+#: Languages whose shares are broadcast, a few MB; where there are more, they are joined.
+MOST_BROADCAST = 50_000
+#: Bits that any text may take beyond its language's rate: as many as 16 unpredictable bytes.
+SLACK = 128.0
 
 
 def learn(labelled: DataFrame, bound: Sample = Sample()) -> Trees:
     """Trees from (doc_id, text, lang) rows; rows without text or lang teach nothing."""
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and length(text) > 0 and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bound.most_langs).collect()
+    rows = labelled.select("doc_id", text_of("text").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and length(text) > 0 and lang is not null")
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return NoTrees()
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, bound.sample / r["count"]))])
-    taken = rows.where(unit_hash(F.col("doc_id"), F.lit("langid")) < F.element_at(share, F.col("lang"))).limit(4 * bound.sample * len(sizes))
-    samples: dict[str, list[bytes]] = {}
-    for r in taken.select("lang", "text").collect():
-        samples.setdefault(r["lang"], []).append(r["text"].encode())
-    return Trees(samples) if samples else NoTrees()
+    most = max(bound.least, min(bound.sample, bound.all_langs // len(sizes)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], 1.5 * most / r["count"]) for r in sizes], "lang string, share double")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    shares = F.broadcast(shares) if len(sizes) <= MOST_BROADCAST else shares
+    near = rows.withColumn("h", unit_hash(F.col("doc_id"), F.lit("langid"))).join(shares, "lang").where("h < share")
+    work = Workspace(rows.sparkSession)
+    sample, _ = work.put("sample", near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("lang", "k", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                keys, n = counted(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    found = sample.where("k % 4 > 0").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    of, gram, n = names.indices.to_numpy(), found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy()
+    trees = Trees({lang: summed(gram[of == i], n[of == i]) for i, lang in enumerate(names.dictionary.to_pylist())})
+    shared = rows.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            langs, texts = batch.column(0), utf8(batch.column(1))
+            bits = [own.code_lengths(t)[own.langs.index(x)] / len(t) if x in own.langs else None for x, t in zip(langs.to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([langs, pa.array(bits, pa.float64())], ["lang", "rate"])
+
+    kept = sample.where("k % 4 = 0").select("lang", "text").mapInArrow(rate, "lang string, rate double").groupBy("lang").agg(F.greatest(2 * F.avg("rate"), 1.25 * F.max("rate")).alias("most"))
+    rates = {r["lang"]: r["most"] for r in kept.collect()}
+    shared.unpersist()
+    trees.most = np.array([rates.get(x) or max(filter(None, rates.values()), default=np.inf) for x in trees.langs])
+    work.drop("sample")
+    return trees
 
 
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of docs, from its text alone."""
+    """(doc_id, lang_pred, score, fits) of every row of docs, from its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,19 +241,26 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
             texts = utf8(batch.column(1))
             for i, j in by_bytes(texts):
                 found = [shared.value.predict(x) for x in texts[i:j]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "fits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, fits boolean")
 
 
 def languages(docs: DataFrame, bound: Sample = Sample(), folds: int = 5) -> DataFrame:
     """identify() with trees learned from the rows whose id's crc32 isn't divisible by folds; held_out marks the others."""
     held = id_crc(F.col("doc_id")) % folds == 0
     trees = learn(docs.where(~held), bound)
-    return identify(docs, trees).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return identify(docs, trees).select("doc_id", held.alias("held_out"), "lang_pred", "score", "fits")
+
+
+def in_known_language(docs: DataFrame, bound: Sample = Sample(), least: float = 0.5, folds: int = 5) -> DataFrame:
+    """The documents that fit their language and whose posterior of it is `least` or more; the others go. Each row is
+    judged by its own text, where it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where(id_crc(F.col("doc_id")) % folds != 0), bound))
 
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        found = [shared.value.predict(x) for x in utf8(texts)]
+        return pa.array([fits and score >= least for _, score, fits in found], pa.bool_())
 
-def in_known_language(docs: DataFrame, bound: Sample = Sample(), least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with a posterior of `least` or more; the others go."""
-    known = languages(docs, bound).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id")
-    return docs.join(known.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where(known(text_of("text")))
