@@ -6,11 +6,15 @@ those k places before, k from 1 to 8, by the length of the run. Each indicator i
 over the scaled indicators dual coordinate descent fits a linear hinge-loss (support vector) model. The score is a
 logistic function of the margin.
 
-Learning takes a bounded sample: about `sample` labelled rows a class by a hash of the id. Scoring takes whole texts.
+Learning takes a bounded sample: the `sample` labelled documents of each class whose ids have the least hashes. Their
+indicators are laid into one task as bitmaps of 8 KB, which fits the model there; the driver gets its weights only.
+Scoring takes whole texts.
 
 Defined results: empty, blank and null texts have no indicators and score by the model's bias; without labels of both
 classes every score is the smoothed share of label 1 among them (0.5 without labels); several labels of one id count as their
-greatest; repeated rows give repeated results; a null id is never learned from and keeps a null `held_out`.
+greatest; of several texts of one id one is learned from; bytes that aren't UTF-8 are read as U+FFFD; repeated rows give
+repeated results; a null id is never learned from, keeps a null `held_out`, and is filtered by its text like others; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from agendum.llm.common import by_bytes, id_crc, unit_hash, utf8
+from agendum.llm.common import by_bytes, id_crc, text_of, unit_hash, utf8
 from agendum.llm.wordhash import word_hashes
 
 #: log2 of the places for byte trigrams; shape trigrams and repeats follow.
@@ -45,8 +49,8 @@ def _shape_table() -> np.ndarray:
 _SHAPE = _shape_table()
 
 
-def indicators(text: bytes | None) -> np.ndarray:
-    """The sorted numbers of the features that a text has."""
+def presence(text: bytes | None) -> np.ndarray:
+    """Of every feature, whether a text has it."""
     seen = np.zeros(FEATURES, bool)
     data = np.frombuffer(text or b"", np.uint8)
     for i in range(0, max(0, len(data) - 2), PIECE):
@@ -64,7 +68,12 @@ def indicators(text: bytes | None) -> np.ndarray:
             if len(runs):
                 steps = np.minimum(np.log2(runs // lag).astype(int), RUNS - 1)
                 seen[(1 << BITS) + SHAPES + (lag - 1) * RUNS + steps] = True
-    return np.flatnonzero(seen)
+    return seen
+
+
+def indicators(text: bytes | None) -> np.ndarray:
+    """The sorted numbers of the features that a text has."""
+    return np.flatnonzero(presence(text))
 
 
 @dataclass
@@ -122,18 +131,27 @@ def learn(docs: DataFrame, labels: DataFrame, params: Fit = Fit()) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, quality of 0 or 1)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    share = F.when(F.col("quality") == 1, min(1.0, params.sample / sizes.get(1, 1))).otherwise(min(1.0, params.sample / sizes.get(0, 1)))
-    taken = known.where(unit_hash(F.col("doc_id"), F.lit("quality")) < share).limit(4 * params.sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "quality", "text")  # at most 4 * sample rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    share = F.when(F.col("quality") == 1, 1.5 * params.sample / sizes.get(1, 1)).otherwise(1.5 * params.sample / sizes.get(0, 1))
+    order = Window.partitionBy("quality").orderBy("h", "doc_id")
+    near = known.withColumn("h", unit_hash(F.col("doc_id"), F.lit("quality"))).where(F.col("h") < share)
+    taken = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= params.sample).select("doc_id", "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    rows = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "quality", "text")  # at most 2 * sample ids
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [indicators(x).astype(np.int32).tobytes() for x in utf8(batch.column(2))]
+            found = [np.packbits(presence(x)).tobytes() for x in utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "quality", "found"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, found binary").limit(8 * params.sample).collect())
-    return fit([np.frombuffer(r["found"], np.int32) for r in got], [r["quality"] for r in got], params)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        features = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=FEATURES)).astype(np.int32) for _, _, x in got]
+        model = fit(features, [y for _, y, _ in got], params)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.slope]), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "slope", "weights"])
+
+    one_each = rows.mapInArrow(read, "doc_id long, quality int, found binary").groupBy("doc_id", "quality").agg(F.min("found").alias("found"))
+    got = one_each.repartition(1).mapInArrow(fitted, "bias double, slope double, weights binary").first()
+    return fit([], [], params) if got is None else Model(got["bias"], np.frombuffer(got["weights"]), got["slope"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -146,18 +164,23 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in by_bytes(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([shared.value.score(x) for x in texts[i:j]], pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, params: Fit = Fit(), folds: int = 3) -> DataFrame:
     """scored() with a model learned from labels whose id's crc32 modulo folds isn't 1; held_out marks the others."""
     held = id_crc(F.col("doc_id")) % folds == 1
-    model = learn(docs, labels.where(~held), params)
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return scored(docs, learn(docs, labels.where(~held), params)).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def good(docs: DataFrame, labels: DataFrame, params: Fit = Fit(), folds: int = 3) -> DataFrame:
+    """The documents that are predicted to be of good quality; the others go. Each row is judged by its own text, where
+    it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels.where(id_crc(F.col("doc_id")) % folds != 1), params))
 
+    @F.arrow_udf("boolean")
+    def fine(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(x) >= 0.5 for x in utf8(texts)], pa.bool_())
 
-def good(docs: DataFrame, labels: DataFrame, params: Fit = Fit()) -> DataFrame:
-    """The documents that are predicted to be of good quality; the others go."""
-    bad = quality(docs, labels, params).where("predicted = 0").select("doc_id")
-    return docs.join(bad.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where(fine(text_of("text")))
