@@ -10,8 +10,9 @@ Sequence ids are the task's partition number shifted by 33 bits plus a running n
 gives the same rows, and packing grows by tasks alone. Ids are those of the `tokenizers` library for a byte-level .json
 file; they are made by `tiktoken` from that file's ranks, which is several times faster (see `Ids`).
 
-Defined results: null or empty text is the end id alone; repeated rows are packed each; a null id stays null; other
-columns are ignored; an empty table gives an empty table.
+Defined results: null or empty text is the end id alone; bytes that aren't UTF-8 are read as U+FFFD; texts may be of any
+length and hold runs of any length; repeated rows are packed each; a null id stays null; other columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,25 +22,57 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from agendum.llm.common import text_of
 from agendum.llm.vocab import byte_level
 
 WINDOW = 2048
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: Characters that the library splits at a time; its patterns give up on runs of about a million.
+LONG = 500_000
+
+
 class Ids:
-    """Token ids of texts as `tokenizers` gives them for a byte-level file, strings of added tokens as these."""
+    """Token ids of texts as `tokenizers` gives them for a byte-level file, strings of added tokens as these.
+
+    A text of over `long` characters is cut between pre-tokens, where no merge reaches over; a single pre-token of that
+    length is merged without the pattern.
+    """
 
-    def __init__(self, name: str):
-        ranks, added = byte_level(name)
-        self.coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    def __init__(self, name: str, long: int = LONG):
+        ranks, self.added = byte_level(name)
+        self.coder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+        self.split, self.long = regex.compile(public_tokenizers.PATTERN), long
+        self.added_split = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.coder.encode_to_numpy(text, allowed_special="all")
+        if len(text) <= self.long:
+            return self.coder.encode_to_numpy(text, allowed_special="all")
+        parts, at = [], 0
+        for m in self.added_split.finditer(text):
+            parts += [*self._plain(text[at : m.start()]), np.array([self.added[m.group()]], "<u4")]
+            at = m.end()
+        return np.concatenate([np.empty(0, "<u4"), *parts, *self._plain(text[at:])])
+
+    def _plain(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text in which no string is special, part by part."""
+        at = end = 0
+        for m in self.split.finditer(text):
+            if m.end() - at > self.long and end > at:
+                yield self.coder.encode_to_numpy(text[at:end], disallowed_special=())
+                at = end
+            end = m.end()
+            if end - at > self.long:
+                yield np.array(self.coder._core_bpe.encode_single_piece(text[at:end].encode()), "<u4")
+                at = end
+        if at < len(text):
+            yield self.coder.encode_to_numpy(text[at:], disallowed_special=())
 
 
 class Packer:
@@ -138,4 +171,4 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 1, wind
         if packer.done:
             yield rows(packer.flush())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, SCHEMA)
