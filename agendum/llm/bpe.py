@@ -5,8 +5,8 @@ of the vocabulary, all at once: one table of displacements and one of as many sl
 the slot is compared. Misses are merged from their bytes, linked left to right, with a heap of adjacent pairs by rank.
 Results of a pre-token are kept in a memo of bounded size, so a word is merged about once a task.
 
-Defined results: null text encodes as empty; text that looks like a special token is ordinary text; repeated rows are
-encoded each; other columns are ignored; unknown ids in decode() are an error.
+Defined results: null text encodes as empty; bytes that aren't UTF-8 are read as U+FFFD; text that looks like a special
+token is ordinary text; repeated rows are encoded each; other columns are ignored; unknown ids in decode() are an error.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from agendum.llm.common import by_bytes, by_sizes, utf8
+from agendum.llm.common import by_bytes, by_sizes, text_of, utf8
 from agendum.llm.vocab import ranks as read_ranks
 from agendum.llm.wordhash import mix
 
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFr
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:

@@ -8,7 +8,7 @@ Inside roles and texts, `<`, any number of backslashes and `|` get one more back
 in a text, and taking one away gives the text back. A line feed in a role is written as `<|nl|>`. The loss mask is run
 lengths in code points, in turn true and false, over the formatted text; it covers the assistant's texts.
 
-Defined results: null texts and roles are empty; turns are sorted by turn, then role, then text, null turns first, and
+Defined results: null texts and roles are empty; bytes that aren't UTF-8 are read as U+FFFD; turns are sorted by turn, then role, then text, null turns first, and
 repeated rows are turns of their own; rows without a conv_id form one conversation; other columns are ignored; an empty
 table gives an empty table. A conversation is one row, so its turns must fit in memory.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from agendum.llm.common import text_of
+
 START, SEPARATOR, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n", "<|nl|>"
 LOSS_ROLE = "assistant"
 
@@ -35,7 +37,7 @@ def _length(text: Column) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, mask): mask is array<struct<length: long, loss: boolean>> over the code points."""
-    clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
+    clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(text_of("role"), F.lit("")).alias("role"), F.coalesce(text_of("text"), F.lit("")).alias("text")).alias("t"))
     sorted_ = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
     def piece(t: Column, i: Column) -> Column:

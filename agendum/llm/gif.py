@@ -7,7 +7,8 @@ canvas as shown. Code widths depend on a code's place after the last clear code
 Payloads of documents are stored as grey samples 64 wide, up to 1024 rows a frame, each frame shown for 0.1 s and then
 restored to the background. Features are histograms over 16 ranges of brightness of the canvas.
 
-Defined results: null text is stored as empty, 64 zero bytes; equal texts give equal values; repeated rows are stored
+Defined results: null text is stored as empty, 64 zero bytes; bytes that aren't UTF-8 are stored as U+FFFD; equal texts
+give equal values; repeated rows are stored
 each; other columns are ignored. Damaged input is a ValueError.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from agendum.llm.common import by_bytes, utf8
+from agendum.llm.common import by_bytes, text_of, utf8
 
 WIDTH, ROWS, DELAY = 64, 1024, 10
 BINS = 16
@@ -256,7 +257,7 @@ def store(docs: DataFrame) -> DataFrame:
             for i, j in by_bytes(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array([write_grey(padded(t)) for t in texts[i:j]], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 FRAMES = "frames array<struct<at_ms: long, delay_ms: int, left: int, top: int, width: int, height: int, histogram: array<long>>>"

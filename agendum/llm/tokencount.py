@@ -5,8 +5,9 @@ between characters that aren't white space. That is safe where no piece of the v
 another character, the text is taken as it is, and a space is put before it: then no merge reaches over the cut, and
 the space put before a part stands for the one that was cut off. Where a model isn't like this, texts stay whole.
 
-Defined results: null text counts as empty, with 0 bytes and 0 tokens; repeated rows are counted each; other columns
-are ignored.
+Defined results: null text counts as empty, with 0 bytes and 0 tokens; bytes that aren't UTF-8 are read as U+FFFD, which
+also is what n_bytes counts; repeated rows are counted each; other columns are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from agendum.llm.common import by_bytes, utf8
+from agendum.llm.common import by_bytes, text_of, utf8
 
 LONG = 32_000
 MARK = "▁"
@@ -73,5 +74,5 @@ def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", limit: int
                 n = own.count([t.decode() for t in texts[i:j]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
