@@ -1,19 +1,16 @@
 """A training corpus from `documents`: language, quality, near-duplicates, then packed windows of token ids.
 
 A stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next stage's docs. All stages but the last return the columns of documents.
+and read again as the next stage's docs. All stages but the last return the columns of documents. The first two judge
+each row by its own text where it is, without a shuffle; the third shuffles only what may go.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from agendum.llm import langid, neardup, packing, quality
-from agendum.llm.common import table
+from agendum.llm.common import Workspace, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +36,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Stages are written under spark.checkpoint.dir, the folder that executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stages-")
-    at, docs = os.path.join(shared, f"corpus-{uuid.uuid4().hex}"), table(spark, sf_dir, "documents")
+    """The rows of the last stage. Stages are written in the folder that executors share; each is deleted when the next
+    one has been written."""
+    work, docs = Workspace(spark), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+        docs, _ = work.put(f"stage{k}", stage(spark, docs, sf_dir))
+        if k:
+            work.drop(f"stage{k - 1}")
     return docs
