@@ -61,18 +61,32 @@ class Ids:
         return np.concatenate([np.empty(0, "<u4"), *parts, *self._plain(text[at:])])
 
     def _plain(self, text: str) -> Iterator[np.ndarray]:
-        """The ids of a text in which no string is special, part by part."""
-        at = end = 0
+        """The ids of a text in which no string is special, part by part.
+
+        A part that ends in white space would be split otherwise than inside the text, so parts end after other
+        pre-tokens, and white space before a forced cut is merged by itself.
+        """
+        whole = lambda part: self.coder.encode_to_numpy(part, disallowed_special=())
+        alone = lambda piece: np.array(self.coder._core_bpe.encode_single_piece(piece.encode()), "<u4")
+        at = safe = 0
+        spaces: list[str] = []  # since the last safe end
         for m in self.split.finditer(text):
-            if m.end() - at > self.long and end > at:
-                yield self.coder.encode_to_numpy(text[at:end], disallowed_special=())
-                at = end
-            end = m.end()
-            if end - at > self.long:
-                yield np.array(self.coder._core_bpe.encode_single_piece(text[at:end].encode()), "<u4")
-                at = end
+            piece = m.group()
+            if m.end() - at > self.long and m.start() > at:
+                if safe > at:
+                    yield whole(text[at:safe])
+                yield from map(alone, spaces)
+                at = safe = m.start()
+                spaces = []
+            if len(piece) > self.long:
+                yield alone(piece)
+                at = safe = m.end()
+            elif piece[-1].isspace():
+                spaces.append(piece)
+            else:
+                safe, spaces = m.end(), []
         if at < len(text):
-            yield self.coder.encode_to_numpy(text[at:], disallowed_special=())
+            yield whole(text[at:])
 
 
 class Packer:
