@@ -5,7 +5,7 @@ timed frames, transparency, and the disposal rules (keep, background, previous).
 canvas as shown. Code widths depend on a code's place after the last clear code only, so codes are cut out all at once.
 
 Payloads of documents are stored as grey samples 64 wide, up to 1024 rows a frame, each frame shown for 0.1 s and then
-restored to the background. Features are histograms over 16 ranges of brightness of the canvas.
+restored to the background. Features are colour histograms of the canvas: 16 ranges of red, of green and of blue.
 
 Defined results: null text is stored as empty, 64 zero bytes; bytes that aren't UTF-8 are stored as U+FFFD; equal texts
 give equal values; repeated rows are stored
@@ -236,12 +236,14 @@ def read(media: bytes) -> Iterator[Frame]:
         disposal, delay, clear = 0, 0, None
 
 
-def histogram(canvas: np.ndarray) -> np.ndarray:
-    """Counts of the shown pixels by brightness, in BINS ranges."""
+CHANNELS = ("red", "green", "blue")
+
+
+def histograms(canvas: np.ndarray) -> dict[str, list[int]]:
+    """Counts of the shown pixels by red, by green and by blue, in BINS ranges each."""
     colours, counts = np.unique(canvas.reshape(-1, 4).view(np.uint32)[:, 0], return_counts=True)
-    red, green, blue, opaque = colours.view(np.uint8).reshape(-1, 4).T.astype(np.int64)
-    light = (299 * red + 587 * green + 114 * blue) // 1000
-    return np.bincount(light * BINS // 256, counts * (opaque > 0), BINS).astype(np.int64)
+    *colour, opaque = colours.view(np.uint8).reshape(-1, 4).T.astype(np.int64)
+    return {c: np.bincount(x * BINS // 256, counts * (opaque > 0), BINS).astype(np.int64).tolist() for c, x in zip(CHANNELS, colour, strict=True)}
 
 
 def padded(text: bytes) -> bytes:
@@ -260,19 +262,19 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-FRAMES = "frames array<struct<at_ms: long, delay_ms: int, left: int, top: int, width: int, height: int, histogram: array<long>>>"
+FRAMES = "frames array<struct<at_ms: long, delay_ms: int, left: int, top: int, width: int, height: int, red: array<long>, green: array<long>, blue: array<long>>>"
 
 
 def load(stored: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, payload, frames): the samples of all frames in order, and what each frame shows."""
-    kind = pa.list_(pa.struct([("at_ms", pa.int64()), *((x, pa.int32()) for x in ("delay_ms", "left", "top", "width", "height")), ("histogram", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("at_ms", pa.int64()), *((x, pa.int32()) for x in ("delay_ms", "left", "top", "width", "height")), *((x, pa.list_(pa.int64())) for x in CHANNELS)]))
 
     def one(media: bytes | None) -> tuple[bytes, list[dict]]:
         samples, frames, now = [], [], 0
         for f in read(media) if media is not None else ():
             samples.append(f.samples.tobytes())
             h, w = f.samples.shape
-            frames.append({"at_ms": now, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": w, "height": h, "histogram": histogram(f.canvas).tolist()})
+            frames.append({"at_ms": now, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": w, "height": h, **histograms(f.canvas)})
             now += f.delay_ms
         return b"".join(samples), frames
 

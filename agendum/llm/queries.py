@@ -92,8 +92,9 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gif.load(gif.store(table(spark, sf_dir, "documents")))
-    total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), gif.BINS), lambda s, f: F.zip_with(s, f["histogram"], lambda x, y: x + y))
-    feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(";ms="), F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + f["delay_ms"]), F.lit(";light="), F.array_join(total.cast("array<string>"), ","))
+    total = lambda c: F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), gif.BINS), lambda s, f: F.zip_with(s, f[c], lambda x, y: x + y))
+    colours = [x for c in gif.CHANNELS for x in (F.lit(f";{c}="), F.array_join(total(c).cast("array<string>"), ","))]
+    feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(";ms="), F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + f["delay_ms"]), *colours)
     payload, size = F.col("payload"), F.octet_length("payload")
     return rows.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(payload.substr(size - 63, F.lit(64))).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 

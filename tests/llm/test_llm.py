@@ -290,7 +290,7 @@ def test_gif_round_trip(spark):
     rows = frame(spark, EDGE)
     for r in gif.load(gif.store(rows)).collect():
         text = next((t for i, t in EDGE if i == r["doc_id"]), "no id")
-        assert bytes(r["payload"]) == gif.padded((text or "").encode()) and sum(f["histogram"][0] for f in r["frames"]) > 0
+        assert bytes(r["payload"]) == gif.padded((text or "").encode()) and sum(f["red"][0] for f in r["frames"]) > 0
     assert gif.load(gif.store(empty(spark))).count() == 0
     data = np.random.default_rng(9).bytes(64 * 3000)
     assert b"".join(f.samples.tobytes() for f in gif.read(gif.write_grey(data))) == data
