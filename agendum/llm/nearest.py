@@ -2,10 +2,12 @@
 
 `pivots` vectors are the reference points: of the `sample` vectors of least hash, each next pivot is the one farthest
 from those before it, so that a crowded region gets no more of them than its extent asks for. The sample only places
-pivots; every vector is indexed and can be found. Every vector is represented by its `prefix` nearest pivots in order, and filed under the nearest. A query opens the files of its own `probe` nearest pivots, ranks what is
-in them by the footrule distance of the two permutations (cut at `prefix`), and reranks the best `share` of each block
-by the exact inner product in double precision. Files are laid into blocks of at most `block` vectors (a larger file
-is split over several), queries into blocks too, so no task's input grows with the table.
+pivots; every vector is indexed and can be found. Every vector is represented by its `prefix` nearest pivots in order,
+posted in their inverted files, and homed with its nearest one. A query opens the homes of its own `probe` nearest
+pivots, ranks what lives there by the footrule distance of the two permutations (cut at `prefix`), summed up from the
+inverted files, and reranks the best `share` of each block by the exact inner product in double precision. Homes are
+laid into blocks of at most `block` vectors (a larger one is split over several), queries into blocks too, so no task's
+input grows with the table.
 
 The footrule distance of two cut permutations is a constant less twice the sum over shared pivots of
 min(prefix - rank, prefix - rank), so a block keeps, for each pivot, the column of prefix - rank of its vectors.
@@ -33,12 +35,14 @@ from agendum.llm.common import cut_lineage
 
 @dataclass(frozen=True)
 class Index:
+    """prefix is at most 255. A block of queries is large, as each block of vectors goes to every one of them."""
+
     pivots: int = 256
     prefix: int = 64
     probe: int = 208
     share: float = 0.25
     block: int = 16_384
-    queries: int = 4096
+    queries: int = 32_768
     sample: int = 4096
 
 
@@ -101,9 +105,9 @@ def _best(stored: pa.Table, asked: pa.Table, k: int, index: Index) -> pa.Table:
     flat = lambda t, c, kind: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(t.num_rows, -1)
     near, x, reps = flat(stored, "near", np.int64), flat(stored, "vector", float), stored.column("rep").to_numpy()
     l = near.shape[1]
-    files = np.zeros((index.pivots, len(reps)), np.int16)  # a row a pivot: prefix - rank of each vector, 0 outside
+    files = np.zeros((index.pivots, len(reps)), np.uint8)  # a pivot's inverted file is a row: prefix - rank of each vector, 0 outside
     files[near, np.arange(len(reps))[:, None]] = l - np.arange(l)
-    weight = (l - np.arange(l)).astype(np.int16)[:, None]
+    weight = (l - np.arange(l)).astype(np.uint8)[:, None]
     out: list[tuple] = []
     for query, q, own in zip(asked.column("query").to_pylist(), flat(asked, "vector", float), flat(asked, "near", np.int64), strict=True):
         opened = np.zeros(index.pivots, bool)
@@ -113,8 +117,11 @@ def _best(stored: pa.Table, asked: pa.Table, k: int, index: Index) -> pa.Table:
             continue
         keep = max(16 * k, int(np.ceil(index.share * len(at))))
         if keep < len(at):
-            shared = np.minimum(files[own[:l]][:, at], weight).sum(0, dtype=np.int32)
+            shared = np.minimum(files[own[:l]], weight).sum(0, dtype=np.uint16)[at].astype(np.int32)
             at = at[np.argpartition(-shared, keep)[:keep]]
+        if len(at) > k + 1:  # those that can be among the best, whatever the order of the sums
+            rough = x[at] @ q
+            at = at[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * np.abs(rough).max()]
         score = (x[at] * q).sum(1)
         first = np.lexsort((reps[at], -score))[: k + 1]
         out += zip([query] * len(first), reps[at][first].tolist(), score[first].tolist(), strict=True)
