@@ -67,6 +67,29 @@ LANGUAGE_DEADLINES = {
 }
 ROMANISED_HINDI = r"\b(hai|hain|nahi|karna|karo|kar|karenge|karega|karegi|rahega|rahegi|tay|baat|agenda|aaj|hum|humne|ka|ki|ko|ne|se|tak)\b"
 
+# fixed values: examples of what sentences of either kind say
+DECISION_EXAMPLES = (
+    "We have decided to proceed with the plan.",
+    "It was agreed that the team will use the new design.",
+    "The decision is final.",
+    "We are going with option two.",
+    "The proposal was approved by the group.",
+    "Everyone signed off on the budget.",
+    "हमने तय किया है कि हम आगे बढ़ेंगे।",
+    "यह निर्णय अंतिम है।",
+    "प्रस्ताव को मंजूरी दी गई।",
+)
+ACTION_EXAMPLES = (
+    "Priya will send the report by Friday.",
+    "Rahul needs to review the document.",
+    "Someone should prepare the presentation.",
+    "I will follow up with the vendor.",
+    "Please update the tracker before the meeting.",
+    "The team is responsible for fixing the bug.",
+    "राहुल को रिपोर्ट भेजनी है।",
+    "हमें अगले हफ्ते तक यह पूरा करना है।",
+)
+
 # fixed values: personal data, in order of priority; Python patterns
 PERSONAL = (
     ("EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]{2,}\b"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from agendum.functions import patterns as P
+from agendum.functions.numbers import rounded
 
 TERMINATORS = ".!?।"
 SPACE = P.SPACE
@@ -38,25 +39,45 @@ def extractor_sentences(text: Column) -> Column:
 
 
 def spans(text: Column, stops: str = TERMINATORS) -> Column:
-    """array<struct<text, start, end>>: runs up to a stop, with it; lone stops and line feeds only move the offset."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"([^{stops}\n]+[{stops}]?|[{stops}\n])"), F.lit(1))
+    """array<struct<text, start, end>>: runs up to a stop, with it; lone stops and line feeds only move the offset.
+
+    For texts of a few hundred sentences, as the array is copied for each; minutes.sentences() takes any length.
+    """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
     def step(state: Column, piece: Column) -> Column:
         end = state["at"] + F.length(piece)
         own = F.array(F.struct(strip(piece).alias("text"), state["at"].alias("start"), end.alias("end")))
-        runs = ~piece.rlike(rf"^[{stops}\n]$") & (strip(piece) != "")
-        return F.struct(end.alias("at"), F.when(runs, F.concat(state["out"], own)).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(is_run(piece, stops), F.concat(state["out"], own)).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(pieces(text, stops), start, step, lambda s: s["out"])
+
+
+def sparse(text: Column) -> Column:
+    """Whether a text has too few terminators for its words to be split by them."""
+    n, stops = n_words(text), F.length(text) - F.length(F.regexp_replace(text, f"[{TERMINATORS}]", ""))
+    return (n >= 12) & ((stops == 0) | (n / stops > 40))
+
+
+def pieces(text: Column, stops: str = TERMINATORS) -> Column:
+    """The whole text in pieces: runs up to a stop, with it, and lone stops and line feeds."""
+    return F.regexp_extract_all(text, F.lit(rf"([^{stops}\n]+[{stops}]?|[{stops}\n])"), F.lit(1))
+
 
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+def is_run(piece: Column, stops: str = TERMINATORS) -> Column:
+    """Whether a piece is a sentence, not a lone stop or blank."""
+    return ~piece.rlike(rf"^[{stops}\n]$") & (strip(piece) != "")
+
+
+def by_clauses(text: Column) -> Column:
+    """Whether a text is split at commas too: it is sparse, and has more clauses than sentences, but some of these."""
+    count = lambda stops: F.size(F.filter(pieces(text, stops), lambda p: is_run(p, stops)))
+    return sparse(text) & (count(TERMINATORS) > 0) & (count("," + TERMINATORS) > count(TERMINATORS))
 
 
 def tiered_spans(text: Column) -> Column:
     """spans(), or comma clauses where terminators are too few and clauses are more."""
-    sentences, clauses = spans(text), spans(text, "," + TERMINATORS)
-    n, stops = n_words(text), F.length(text) - F.length(F.regexp_replace(text, f"[{TERMINATORS}]", ""))
-    sparse = (n >= 12) & ((stops == 0) | (n / stops > 40))
-    return F.when((F.size(sentences) > 0) & sparse & (F.size(clauses) > F.size(sentences)), clauses).otherwise(sentences)
+    return F.when(by_clauses(text), spans(text, "," + TERMINATORS)).otherwise(spans(text))
 
 
 def is_ascii(text: Column) -> Column:
@@ -91,7 +112,7 @@ def rule_confidence(text: Column, base: float, due: Column | None = None) -> Col
     n = n_words(text)
     score = F.lit(base) - F.when(has(text, P.HEDGE), 0.25).otherwise(0.0)
     score = score + F.when(n < 5, -0.15).when(n > 12, 0.08).otherwise(0.0) + F.when((deadline(text) if due is None else due).isNotNull(), 0.10).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.95), score)), 2)
+    return rounded(F.greatest(F.lit(0.05), F.least(F.lit(0.95), score)), 2)
 
 
 def languages(text: Column, hint: Column | None = None) -> Column:
@@ -132,6 +153,13 @@ def model_owner(text: Column, codes: Column) -> Column:
     return found
 
 
+def model_deadline(text: Column, codes: Column) -> Column:
+    """The first deadline of the similarity-based stage, English patterns before Hindi ones."""
+    hindi = F.array_contains(F.transform(codes, lambda c: F.lower(F.substring_index(c, "-", 1))), "hi")
+    found = {code: first_group(text, [(p, True) for p in P.LANGUAGE_DEADLINES[code]]) for code in ("en", "hi")}
+    return F.coalesce(found["en"], F.when(hindi, found["hi"]))
+
+
 def neutral_cell(value: Column) -> Column:
     """A cell that no spreadsheet takes for a formula; null is empty."""
     text = F.coalesce(value.cast("string"), F.lit(""))
@@ -210,6 +238,12 @@ def fenced(text: Column, label: str = "transcript") -> Column:
     return F.concat(F.lit(P.FENCE_HEAD.format(label=label) + P.FENCE_OPEN + "\n"), safe, F.lit("\n" + P.FENCE_CLOSE))
 
 
+def iso(ts: Column) -> Column:
+    """An instant as text, with microseconds only where it has any; null stays null."""
+    micros = F.unix_micros(ts) % 1_000_000
+    return F.when(micros == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
+
+
 def email(text: Column) -> Column:
     return F.lower(strip(text))
 

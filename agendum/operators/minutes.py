@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from agendum.functions import patterns as P, text as X
 
@@ -10,9 +13,47 @@ from agendum.functions import patterns as P, text as X
 BLOCK_SENTENCES = 6
 
 
-def sentences(transcripts: DataFrame) -> DataFrame:
-    """(job_id, i, sentence, start, end) from (job_id, text), offsets in code points."""
-    return transcripts.select("job_id", F.posexplode(X.spans(F.col("text"))).alias("i", "s")).select("job_id", "i", F.col("s.text").alias("sentence"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+def sentences(texts: DataFrame, keys: Sequence[str] = ("job_id",), stops: str = X.TERMINATORS) -> DataFrame:
+    """(keys..., i, sentence, start, end) from (keys..., text), offsets in code points.
+
+    Pieces become rows, whose lengths a window adds up, so a text's length doesn't matter; what follows is laid out by
+    the same keys.
+    """
+    each = texts.select(*keys, F.posexplode(X.pieces(F.col("text"), stops)).alias("k", "piece"))
+    order = Window.partitionBy(*keys).orderBy("k")
+    placed = each.withColumn("end", F.sum(F.length("piece")).over(order).cast("int")).where(X.is_run(F.col("piece"), stops))
+    return placed.select(*keys, (F.row_number().over(order) - 1).alias("i"), X.strip(F.col("piece")).alias("sentence"), (F.col("end") - F.length("piece")).alias("start"), "end")
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("text", "string").add("start", "integer").add("end", "integer")))
+def located(texts: pa.Array, segments: pa.Array) -> pa.Array:
+    """Where a text's segments are, if all that aren't blank are found one after the other; else null."""
+    def one(text: str | None, parts: list[str | None] | None) -> list[dict] | None:
+        out, at = [], 0
+        for part in filter(None, ((p or "").strip() for p in parts or ())):
+            start = (text or "").find(part, at)
+            if start < 0:
+                return None
+            at = start + len(part)
+            out.append({"text": part, "start": start, "end": at})
+        return out or None
+
+    return pa.array([one(t, s) for t, s in zip(texts.to_pylist(), segments.to_pylist(), strict=True)], pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+
+def tiered_sentences(texts: DataFrame, keys: Sequence[str] = ("job_id",), segments: DataFrame | None = None) -> DataFrame:
+    """sentences() by the first tier that fits: the text's own segments (job_id, seg, text), where all are found in
+    order; its terminators; clauses at commas, where those are too few."""
+    rows = texts.select(*keys, "text")
+    found = None
+    if segments is not None:
+        lists = segments.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda s: s["text"]).alias("parts"))
+        rows = rows.join(lists, list(keys), "left").withColumn("spans", located(F.col("text"), F.col("parts")))
+        found = rows.where("spans is not null").select(*keys, F.posexplode("spans").alias("i", "s")).select(*keys, "i", F.col("s.text").alias("sentence"), "s.start", "s.end")
+        rows = rows.where("spans is null").select(*keys, "text")
+    clauses = X.by_clauses(F.col("text"))
+    out = sentences(rows.where(~clauses), keys).unionAll(sentences(rows.where(clauses), keys, "," + X.TERMINATORS))
+    return out if found is None else out.unionAll(found)
 
 
 def timings(spoken: DataFrame) -> DataFrame:

@@ -66,10 +66,10 @@ def _nearest(pieces: DataFrame, named: DataFrame, width: DataFrame) -> DataFrame
 
 
 def windows(jobs: DataFrame, chunk: float = 600.0, overlap: float = 2.0) -> DataFrame:
-    """(job_id, k, start, keep_from) of audio (job_id, seconds) cut into overlapping windows."""
+    """(job_id, k, start, keep_from) of audio (job_id, seconds) cut into overlapping windows; none where there is no audio."""
     step = max(1.0, chunk - overlap)
     n = F.greatest(F.ceil(F.col("seconds") / step), F.lit(1)).cast("int")
-    return jobs.select("job_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("job_id", "k", (F.col("k") * step).alias("start"), F.when(F.col("k") > 0, F.col("k") * step + overlap / 2).otherwise(0.0).alias("keep_from"))
+    return jobs.where("seconds > 0").select("job_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("job_id", "k", (F.col("k") * step).alias("start"), F.when(F.col("k") > 0, F.col("k") * step + overlap / 2).otherwise(0.0).alias("keep_from"))
 
 
 def stitched(pieces: DataFrame, chunk: float = 600.0, overlap: float = 2.0) -> DataFrame:
