@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from agendum.functions import text as X
-from agendum.operators import documents as D, evaluate as E, governance as G, minutes as M, privacy as V, reports as R, speakers as S, vectors as N
+from agendum.functions import patterns as P, text as X
+from agendum.functions.numbers import rounded_sql
+from agendum.operators import access as A, documents as D, evaluate as E, governance as G, minutes as M, privacy as V, reports as R, speakers as S, vectors as N
+from agendum.operators.stages import Tool
 from agendum.streaming import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,13 +75,10 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return lines(spark, folder).groupBy("job_id").agg(F.array_join(ordered, " ").alias("text"))
 
 
-# The SQL twins of the cue patterns: RE2 knows \b over ASCII, which the templates keep to.
-TOPIC_SQL = r"(?i)\b(next (?:item|topic|up)|moving on|let'?s (?:discuss|talk about|move)|agenda item|first item|second item|third item|next agenda|turning to|on the subject of|now (?:for|about))\b"
-DECISION_SQL = r"(?i)\b(we (?:have )?(?:decided|agreed|concluded|settled on)|(?:it (?:was|is)|final) (?:decided|decision|agreed)|the decision is|we(?:'| a)re going (?:to|with)|approved|sign(?:ed)? off|we will go with|let'?s go with)\b"
-ACTION_SQL = r"(?i)\b(will (?:send|share|prepare|update|review|draft|check|fix|deploy|call|follow up)|needs? to|has to|should|action item|take(?:s)? (?:this|that) up|assign(?:ed)? to|owner is|responsible for|please (?:send|share|prepare|update|check)|I'?ll |we'?ll |follow[- ]up|by (?:eod|eow|tomorrow|next week|friday|monday))\b"
-HEDGE_SQL = r"(?i)\b(maybe|might|perhaps|possibly|not sure|tentatively|if (?:we|it))\b"
-OWNERS_SQL = (r"\b([A-Z][a-z]{2,15})\s+(?:will|to|should|needs? to|has to|is going to)\b", r"(?i)\bassigned to\s+([A-Z][a-z]{2,15})", r"(?i)\bowner\s*(?:is|:)\s*([A-Z][a-z]{2,15})", r"\b([A-Z][a-z]{2,15})\s+(?:ko|ne)\b")
-DEADLINES_SQL = (r"(?i)\bby\s+(\d{1,2}(?:st|nd|rd|th)?\s+\w+(?:\s+\d{4})?)", r"(?i)\bby\s+(eod|eow|tomorrow|today|tonight|next week|this week|month end)\b", r"(?i)\bby\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b", r"\b(\d{4}-\d{2}-\d{2})\b", r"(?i)\bbefore\s+(\w+day|the\s+\w+)\b")
+# The cue patterns as SQL has them: RE2 knows \\b over ASCII, which the templates keep to.
+TOPIC_SQL, DECISION_SQL, ACTION_SQL, HEDGE_SQL = (f"(?i){p}" for p in (P.TOPIC, P.DECISION, P.ACTION, P.HEDGE))
+OWNERS_SQL = [f"(?i){p}" if ignore_case else p for p, ignore_case in P.OWNERS]
+DEADLINES_SQL = [f"(?i){p}" for p in P.DEADLINES]
 
 
 def _re(pattern: str) -> str:
@@ -133,13 +132,14 @@ def agenda_blocks(spark, folder):
     return M.agenda(placed(spark, folder)).select("job_id", F.col("position").cast("long"), "title", "n_sentences", "confidence")
 
 
-@query(r"""SELECT conv_id, turn, len(p)::BIGINT AS n_pieces, len(list_filter(p, lambda x: NOT regexp_full_match(x, '[.!?।\n]') AND trim(x, ' ' || chr(9) || chr(10)) <> ''))::BIGINT AS n_spans, coalesce(length(array_to_string(p, '')), 0)::BIGINT AS covered
-  FROM (SELECT conv_id, turn, regexp_extract_all(text, '([^.!?।\n]+[.!?।]?|[.!?।\n])') AS p FROM conversations)""")
+@query(r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '([^.!?।\n]+[.!?।]?|[.!?।\n])') AS p FROM conversations),
+  e AS (SELECT conv_id, turn, unnest(p) AS piece, unnest(range(len(p))) AS k FROM p), o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY k) AS stop FROM e)
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS i, trim(piece, ' ' || chr(9) || chr(10) || chr(13)) AS sentence, (stop - length(piece))::INT AS "start", stop::INT AS "end"
+  FROM o WHERE NOT regexp_full_match(piece, '[.!?।\n]') AND trim(piece, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def sentence_offsets(spark, folder):
-    c = t(spark, folder, "conversations")
-    found = X.spans(F.col("text"))
-    pieces = F.regexp_extract_all("text", F.lit(r"([^.!?।\n]+[.!?।]?|[.!?।\n])"), F.lit(0))
-    return c.select("conv_id", "turn", F.size(pieces).cast("long").alias("n_pieces"), F.size(found).cast("long").alias("n_spans"), F.length("text").cast("long").alias("covered"))
+    """Every sentence of every turn with its place."""
+    found = M.sentences(t(spark, folder, "conversations").select("conv_id", "turn", "text"), ("conv_id", "turn"))
+    return found.select("conv_id", "turn", F.col("i").cast("long").alias("i"), "sentence", "start", "end")
 
 
 @query(r"""WITH s AS (SELECT conv_id * 100 + turn AS job_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM conversations),
@@ -275,34 +275,39 @@ def item_rows(spark, folder):
 
 
 @query(f"""WITH {ITEM_ROWS_SQL} SELECT job_id, kind, count(*)::BIGINT AS total, count(*) FILTER (status <> 'proposed')::BIGINT AS reviewed, count(*) FILTER (status = 'approved')::BIGINT AS accepted_unchanged, count(*) FILTER (status = 'edited')::BIGINT AS edited, count(*) FILTER (status = 'rejected')::BIGINT AS rejected,
-  round(count(*) FILTER (status = 'approved')::DOUBLE / nullif(count(*) FILTER (status <> 'proposed'), 0), 3) AS accept_rate, round(count(*) FILTER (status = 'edited')::DOUBLE / nullif(count(*) FILTER (status <> 'proposed'), 0), 3) AS edit_rate,
-  round(avg(review_seconds) FILTER (status <> 'proposed'), 2) AS mean_review_seconds, round(sum(review_seconds) FILTER (status <> 'proposed'), 2) AS total_review_seconds FROM i GROUP BY job_id, kind""")
+  {rounded_sql("count(*) FILTER (status = 'approved')::DOUBLE / nullif(count(*) FILTER (status <> 'proposed'), 0)", 3)} AS accept_rate, {rounded_sql("count(*) FILTER (status = 'edited')::DOUBLE / nullif(count(*) FILTER (status <> 'proposed'), 0)", 3)} AS edit_rate,
+  {rounded_sql("avg(review_seconds) FILTER (status <> 'proposed')", 2)} AS mean_review_seconds, {rounded_sql("sum(review_seconds) FILTER (status <> 'proposed')", 2)} AS total_review_seconds FROM i GROUP BY job_id, kind""")
 def review_stats(spark, folder):
     return R.review_stats(item_rows(spark, folder))
 
 
-RUNS_SQL = "r AS (SELECT user_id AS job_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'agent' ELSE 'no_agent' END AS mode, CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'completed' END AS status, event_id % 9 AS tool_calls, event_id % 3 AS denied, event_id % 5000 / 4.0 AS duration_ms, event_type, value FROM events)"
+STATUSES = ("completed", "failed", "awaiting_approval", "aborted", "completed")
+RUNS_SQL = f"r AS (SELECT user_id AS job_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'agent' ELSE 'no_agent' END AS mode, {_quoted(STATUSES)}[1 + event_id % 5] AS status, event_id % 9 AS tool_calls, CASE WHEN event_id % 8 > 0 THEN event_id % 3 END AS denied, CASE WHEN event_id % 6 > 0 THEN event_id % 5000 / 4.0 END AS duration_ms, CASE WHEN event_id % 7 > 0 THEN event_id % 4 END AS steps, event_type, value FROM events WHERE user_id % 10 > 0 OR event_id % 2 = 0)"
 
 
 def runs(spark, folder):
+    """A run an event; every tenth job has none of the second mode."""
     e = F.col("event_id")
-    return t(spark, folder, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", F.when(e % 2 == 0, "agent").otherwise("no_agent").alias("mode"), F.when(e % 4 == 1, "failed").otherwise("completed").alias("status"), (e % 9).alias("tool_calls"), (e % 3).alias("denied"), (e % 5000 / 4.0).alias("duration_ms"), "event_type", "value")
+    rows = t(spark, folder, "events").where("user_id % 10 > 0 or event_id % 2 = 0")
+    return rows.select(F.col("user_id").alias("job_id"), "event_id", "ts", F.when(e % 2 == 0, "agent").otherwise("no_agent").alias("mode"), F.element_at(F.array(*map(F.lit, STATUSES)), (e % 5 + 1).cast("int")).alias("status"), (e % 9).alias("tool_calls"), F.when(e % 8 > 0, e % 3).alias("denied"), F.when(e % 6 > 0, e % 5000 / 4.0).alias("duration_ms"), F.when(e % 7 > 0, e % 4).alias("steps"), "event_type", "value")
 
 
 def _mode_sql(mode: str) -> str:
     f = f"FILTER (mode = '{mode}')"
-    both = lambda s: f"CASE WHEN count(*) {f} > 0 THEN count(*) FILTER (mode = '{mode}' AND status = '{s}') END::BIGINT"
-    return f"nullif(count(*) {f}, 0)::BIGINT AS {mode}_runs, {both('completed')} AS {mode}_completed, {both('failed')} AS {mode}_failed, sum(tool_calls) {f}::BIGINT AS {mode}_tool_calls, sum(denied) {f}::BIGINT AS {mode}_denied, round(avg(duration_ms::DOUBLE) {f}, 2) AS {mode}_mean_ms"
+    state = lambda s, name: f"count(*) FILTER (mode = '{mode}' AND status = '{s}')::BIGINT AS {mode}_{name}"
+    total = lambda c, name: f"coalesce(sum({c}) {f}, 0)::BIGINT AS {mode}_{name}"
+    mean = rounded_sql(f"avg(duration_ms::DOUBLE) {f}", 2)
+    return ", ".join((f"count(*) {f}::BIGINT AS {mode}_runs", state("completed", "completed"), state("failed", "failed"), state("awaiting_approval", "suspended_at_gate"), state("aborted", "aborted_by_human"), total("tool_calls", "tool_calls"), total("denied", "denied"), f"{mean} AS {mode}_mean_ms", total("steps", "traced_steps")))
 
 
-@query(f"WITH {RUNS_SQL}, w AS (SELECT job_id, {_mode_sql('agent')}, {_mode_sql('no_agent')} FROM r GROUP BY job_id) SELECT *, CASE WHEN agent_mean_ms <> 0 AND no_agent_mean_ms <> 0 THEN round(agent_mean_ms - no_agent_mean_ms, 2) END AS overhead_ms FROM w")
+@query(f"WITH {RUNS_SQL}, w AS (SELECT job_id, {_mode_sql('agent')}, {_mode_sql('no_agent')} FROM r GROUP BY job_id) SELECT *, agent_suspended_at_gate + agent_aborted_by_human AS human_gates_enforced, no_agent_completed AS writes_without_human_review, CASE WHEN agent_mean_ms <> 0 AND no_agent_mean_ms <> 0 THEN {rounded_sql('agent_mean_ms - no_agent_mean_ms', 2)} END AS overhead_ms FROM w")
 def run_comparison(spark, folder):
     return R.run_comparison(runs(spark, folder))
 
 
 TURNS_SQL = """t AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, epoch(ts) AS "start", epoch(ts) + 3600 + event_id % 7200 AS "end", event_type AS label FROM events),
   f AS (SELECT job_id, label, min(ROW("start", turn)) AS first FROM t GROUP BY job_id, label), s AS (SELECT job_id, label, 'SPEAKER_' || lpad((dense_rank() OVER (PARTITION BY job_id ORDER BY first) - 1)::VARCHAR, 2, '0') AS speaker FROM f),
-  g AS (SELECT user_id AS job_id, event_id AS seg, epoch(ts) + 1800 AS "start", epoch(ts) + 2400 + event_id % 9000 AS "end" FROM events WHERE event_id % 5 = 0)"""
+  g AS (SELECT user_id AS job_id, event_id AS seg, epoch(ts) + 1800 AS "start", epoch(ts) + 2400 + event_id % 9000 AS "end" FROM events)"""
 
 
 def turns(spark, folder):
@@ -321,7 +326,7 @@ def segments(spark, folder):
   b AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN o > 0 THEN 0 ELSE 1 END, CASE WHEN o > 0 THEN -o ELSE gap END, turn) AS n FROM j) SELECT job_id, seg, speaker FROM b WHERE n = 1""")
 def segment_speakers(spark, folder):
     """Most overlapping turn, else the nearest."""
-    return S.assign(segments(spark, folder).where("seg % 5 = 0"), turns(spark, folder))
+    return S.assign(segments(spark, folder), turns(spark, folder))
 
 
 @query("""SELECT c_custkey AS job_id, k::BIGINT AS k, (k * 598.0)::DOUBLE AS start, CASE WHEN k > 0 THEN k * 598.0 + 1 ELSE 0 END::DOUBLE AS keep_from FROM (SELECT c_custkey, unnest(range(0, greatest(1, ceil((abs(c_acctbal) + 10) / 598.0))::BIGINT)) AS k FROM customer)""")
@@ -330,38 +335,49 @@ def audio_windows(spark, folder):
     return S.windows(jobs).select("job_id", F.col("k").cast("long").alias("k"), "start", "keep_from")
 
 
-@query("""SELECT o_orderkey, o_custkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+def owned_jobs(spark, folder):
+    """A job a customer, owned by a nation's user."""
+    return t(spark, folder, "customer").select(F.col("c_custkey").alias("job_id"), F.col("c_nationkey").alias("owner_id"), F.col("c_name").alias("title"))
+
+
+def order_gates(spark, folder):
+    """A gate an order."""
+    return t(spark, folder, "orders").select(F.col("o_orderkey").alias("gate_id"), F.col("o_custkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("action"))
+
+
+@query("""SELECT o_orderkey AS gate_id, o_custkey AS job_id, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 AND contains(lower(o_orderpriority), 'urg') ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
 def owner_rls_topn(spark, folder):
-    rows = t(spark, folder, "orders").join(t(spark, folder, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    return R.page(rows, [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "o_custkey", "o_orderstatus")
+    """What one owner sees, searched, newest first."""
+    rows = A.where_contains(A.visible(order_gates(spark, folder), owned_jobs(spark, folder), 3, "viewer"), "action", " URG")
+    return R.page(rows, [F.desc("created_at"), F.col("gate_id")]).select("gate_id", "job_id", "status")
 
 
-@query("""SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'""")
+@query("""SELECT o_orderkey AS gate_id, c_name AS title FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND c_nationkey = 7""")
 def approval_join(spark, folder):
-    gates = t(spark, folder, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    return gates.join(t(spark, folder, "customer"), "c_custkey").join(F.broadcast(t(spark, folder, "nation")).withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("o_orderkey", "c_name", "n_name")
+    return A.gates_for(order_gates(spark, folder), owned_jobs(spark, folder), 7, "reviewer", "P").select("gate_id", "title")
 
 
-@query("""SELECT c_custkey, lower(trim(c_name)) AS email FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)""")
+@query("""SELECT c_custkey, lower(trim(c_name)) AS email FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN customer b ON o_custkey = b.c_custkey WHERE lower(trim(b.c_name)) = lower(trim(customer.c_name)) AND o_totalprice > 200000)""")
 def allowlist_semi(spark, folder):
-    approved = t(spark, folder, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
-    return t(spark, folder, "customer").join(approved, "c_custkey", "left_semi").select("c_custkey", X.email(F.col("c_name")).alias("email"))
+    approved = t(spark, folder, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")).join(t(spark, folder, "customer"), "c_custkey").select(F.concat(F.lit(" "), F.upper("c_name")).alias("email"))
+    people = t(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("email"))
+    return A.registered(people, approved).select("c_custkey", X.email(F.col("email")).alias("email"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)")
 def unmatched_anti(spark, folder):
     matched = t(spark, folder, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return t(spark, folder, "part").join(matched, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    return A.unmatched(t(spark, folder, "part"), matched, "p_partkey").select("p_partkey", "p_name")
 
 
 @query("SELECT job_id, event_id, event_type FROM (SELECT user_id AS job_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_per_job(spark, folder):
-    return R.latest(runs(spark, folder), "job_id", ["ts", "event_id"]).select("job_id", "event_id", "event_type")
+    return R.latest(t(spark, folder, "events").withColumnRenamed("user_id", "job_id"), "job_id", ["ts", "event_id"]).select("job_id", "event_id", "event_type")
 
 
 def queue(spark, folder):
     e = F.col("event_id")
-    return t(spark, folder, "events").select(e.alias("run_id"), F.when(e % 3 == 0, "queued").when(e % 3 == 1, "running").otherwise("completed").alias("status"), F.when(e % 3 == 1, F.col("ts")).alias("claimed_at"), (e % 5).alias("attempts"), F.col("ts").alias("queued_at"))
+    return t(spark, folder, "events").select(e.alias("run_id"), F.col("user_id").alias("job_id"), F.when(e % 3 == 0, "queued").when(e % 3 == 1, "running").otherwise("completed").alias("status"), F.when(e % 3 == 1, F.col("ts")).alias("claimed_at"), F.when(e % 3 == 1, F.concat(F.lit("w"), (e % 4).cast("string"))).alias("claimed_by"), (e % 5).cast("int").alias("attempts"), F.col("ts").alias("queued_at"), F.lit(None).cast("string").alias("error_message"))
 
 
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -372,9 +388,28 @@ def fifo_claim(spark, folder):
     return G.claim(queue(spark, folder), 20).select("run_id")
 
 
-@query(f"""WITH q AS (SELECT event_id AS run_id, event_id % 5 AS attempts, event_id % 3 AS k, ts, event_id % 3 = 1 AND ts <= {AS_OF} - INTERVAL 30 MINUTE AS dead FROM events) SELECT run_id, CASE WHEN dead AND attempts >= 3 THEN 'failed' WHEN dead THEN 'queued' WHEN k = 0 THEN 'queued' WHEN k = 1 THEN 'running' ELSE 'completed' END AS status, k = 1 AND NOT (dead AND attempts < 3) AS claimed FROM q""")
+SWEPT_SQL = f"""q AS (SELECT event_id AS run_id, user_id AS job_id, event_id % 5 AS attempts, event_id % 3 AS k, 'w' || (event_id % 4) AS worker, ts, event_id % 3 = 1 AND ts <= {AS_OF} - INTERVAL 30 MINUTE AS dead FROM events),
+  swept AS (SELECT run_id, job_id, CASE WHEN dead AND attempts >= 3 THEN 'failed' WHEN dead THEN 'queued' WHEN k = 0 THEN 'queued' WHEN k = 1 THEN 'running' ELSE 'completed' END AS status, CASE WHEN k = 1 AND NOT (dead AND attempts < 3) THEN worker END AS claimed_by, k = 1 AND NOT (dead AND attempts < 3) AS claimed, CASE WHEN dead AND attempts < 3 THEN {AS_OF} ELSE ts END AS queued_at, CASE WHEN dead AND attempts >= 3 THEN 'Abandoned by worker ' || worker || ' and retried ' || attempts || ' times; giving up.' END AS error_message FROM q)"""
+
+
+@query(f"WITH {SWEPT_SQL} SELECT run_id, status, claimed_by, claimed, queued_at, error_message FROM swept")
 def lease_requeue(spark, folder):
-    return G.requeue(queue(spark, folder), F.expr(AS_OF)).select("run_id", "status", F.col("claimed_at").isNotNull().alias("claimed"))
+    swept = G.requeue(queue(spark, folder), F.expr(AS_OF))
+    return swept.select("run_id", "status", "claimed_by", F.col("claimed_at").isNotNull().alias("claimed"), "queued_at", "error_message")
+
+
+@query(f"WITH {SWEPT_SQL}, lost AS (SELECT job_id, arg_max(error_message, run_id) AS why FROM swept WHERE error_message IS NOT NULL GROUP BY job_id) SELECT c_custkey AS job_id, CASE WHEN why IS NOT NULL THEN 'failed' ELSE 'running' END AS status, why AS error_message FROM customer LEFT JOIN lost ON job_id = c_custkey")
+def abandoned_jobs(spark, folder):
+    """Jobs after a sweep: those of runs that were given up have failed."""
+    jobs = t(spark, folder, "customer").select(F.col("c_custkey").alias("job_id"), F.lit("running").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    return G.failed_jobs(jobs, G.requeue(queue(spark, folder), F.expr(AS_OF)))
+
+
+@query(f"""WITH c AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE event_id % 3 = 0 ORDER BY ts, event_id LIMIT 3)
+  SELECT e.event_id AS run_id, CASE WHEN k IS NOT NULL OR e.event_id % 3 = 1 THEN 'running' WHEN e.event_id % 3 = 0 THEN 'queued' ELSE 'completed' END AS status, CASE WHEN k IS NOT NULL THEN ['a', 'b', 'c'][k] WHEN e.event_id % 3 = 1 THEN 'w' || (e.event_id % 4) END AS claimed_by, (e.event_id % 5 + CASE WHEN k IS NOT NULL THEN 1 ELSE 0 END)::INT AS attempts FROM events e LEFT JOIN c ON c.event_id = e.event_id""")
+def claimed_runs(spark, folder):
+    """The whole queue after three workers took a run each."""
+    return G.claimed(queue(spark, folder), ("a", "b", "c"), F.expr(AS_OF).cast("timestamp_ntz")).select("run_id", "status", "claimed_by", "attempts")
 
 
 @query(f"SELECT event_id AS gate_id, CASE WHEN event_id % 2 = 0 AND ts <= {AS_OF} - INTERVAL 48 HOUR THEN 'expired' WHEN event_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status FROM events")
@@ -401,15 +436,36 @@ def rate_limit_exact(spark, folder):
     return G.limit_rate(hits, 3, 86400.0, 43200.0)
 
 
-TOOLS = {"click": 2, "view": 3, "purchase": 1, "login": 1}
+TOOLS = [Tool("click", max_calls_per_run=2), Tool("view", max_calls_per_run=3), Tool("purchase", "write", True, 1), Tool("login", max_calls_per_run=1)]
+CALLS_SQL = """c AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS tool, event_id % 10 > 0 AS valid, event_type || ':' || (event_id % 4) AS gate_key FROM events),
+  gates AS (SELECT DISTINCT user_id AS run_id, event_type || ':' || (event_id % 4) AS gate_key FROM events WHERE event_id % 3 = 0 AND event_id % 7 > 0),
+  g AS (SELECT c.*, x.run_id IS NOT NULL AS granted FROM c LEFT JOIN gates x ON x.run_id = c.run_id AND x.gate_key = c.gate_key)"""
 
 
-@query()
-def tool_call_denials(spark, folder):
+def calls(spark, folder):
+    """Attempted tool calls with whether an approved, untampered gate of the run grants them."""
     e = t(spark, folder, "events")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    calls = e.select(F.col("user_id").alias("run_id"), seq.alias("seq"), F.col("event_type").alias("tool"), (F.col("event_id") % 10 > 0).alias("valid"), (F.col("event_id") % 4 > 0).alias("granted"))
-    return G.decide_calls(calls, TOOLS, 25, {"purchase"})
+    key = F.concat("event_type", F.lit(":"), (F.col("event_id") % 4).cast("string"))
+    attempted = e.select(F.col("user_id").alias("run_id"), seq.alias("seq"), F.col("event_type").alias("tool"), (F.col("event_id") % 10 > 0).alias("valid"), key.alias("gate_key"))
+    gates = e.select(F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 3 == 0, "approved").otherwise("pending").alias("status"), F.when(F.col("event_id") % 2 == 0, key).otherwise("").alias("fingerprint"), key.alias("actual"), "event_id")
+    return G.granted(attempted, gates.withColumn("fingerprint", F.when(F.col("event_id") % 7 == 0, "tampered").otherwise(F.col("fingerprint"))))
+
+
+@query(f"WITH {CALLS_SQL} SELECT run_id, seq::INT AS seq, granted FROM g")
+def granted_calls(spark, folder):
+    return calls(spark, folder).select("run_id", "seq", "granted")
+
+
+@query(f"""WITH {CALLS_SQL}, l AS (SELECT *, map {{'click': 2, 'view': 3, 'purchase': 1, 'login': 1}}[tool] AS most FROM g),
+  a AS (SELECT *, most IS NOT NULL AND tool <> 'login' AND valid AND (tool <> 'purchase' OR granted) AS fits FROM l),
+  b AS (SELECT * REPLACE (fits AND count(*) FILTER (fits) OVER (PARTITION BY run_id, tool ORDER BY seq) <= most AS fits) FROM a),
+  d AS (SELECT * REPLACE (fits AND count(*) FILTER (fits) OVER (PARTITION BY run_id ORDER BY seq) <= 5 AS fits) FROM b),
+  u AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent, count(*) FILTER (fits) OVER (PARTITION BY run_id, tool ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM d),
+  r AS (SELECT *, CASE WHEN most IS NULL THEN 'not_allowlisted' WHEN tool = 'login' THEN 'not_in_run_allowlist' WHEN spent >= 5 THEN 'run_quota_exhausted' WHEN used >= most THEN 'tool_quota_exhausted' WHEN NOT valid THEN 'invalid_arguments' WHEN tool = 'purchase' AND NOT granted THEN 'approval_required' END AS reason FROM u)
+  SELECT run_id, seq::INT AS seq, tool, CASE WHEN reason IS NULL THEN 'allowed' WHEN reason = 'approval_required' THEN 'suspended' ELSE 'denied' END AS outcome, reason FROM r""")
+def tool_call_denials(spark, folder):
+    return G.decide_calls(calls(spark, folder), TOOLS, 5, ["click", "view", "purchase", "logout"])
 
 
 @query("""SELECT o_orderkey, 'persist_minutes:' || sha256('{"customer": ' || o_custkey || ', "priority": "' || o_orderpriority || '", "status": "' || o_orderstatus || '"}')[1:16] AS fingerprint, o_orderkey % 3 <> 0 AS trusted FROM orders""")
@@ -468,23 +524,32 @@ def _word_pairs(spark, folder):
     return c.select("conv_id", "turn", X.wer_text(F.col("text")).alias("ref"), X.wer_text(F.regexp_replace("text", r" the ", " a the ")).alias("hyp"))
 
 
-@query()
+WER_SQL = r"""n AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pN_\s]', '', 'g'), '\s+'), lambda w: w <> '') AS r, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(text, ' the ', ' a the ', 'g')), '[^\pL\pN_\s]', '', 'g'), '\s+'), lambda w: w <> '') AS h FROM conversations),
+  w AS (SELECT conv_id, turn, coalesce(len(r), 0) AS ref_words, coalesce(len(h) - len(r), 0) AS insertions FROM n)"""
+
+
+@query(f"WITH {WER_SQL} SELECT conv_id, turn, ref_words::INT AS ref_words, 0::INT AS substitutions, 0::INT AS deletions, insertions::INT AS insertions, insertions::INT AS distance, CASE WHEN ref_words = 0 THEN CASE WHEN insertions > 0 THEN 1.0 ELSE 0.0 END ELSE {rounded_sql('insertions::DOUBLE / nullif(ref_words, 0)', 4)} END::DOUBLE AS wer FROM w")
 def wer_alignment(spark, folder):
     """Substitutions, deletions and insertions of each turn; their sum must be the distance that Spark finds alone."""
     rows = E.word_distances(_word_pairs(spark, folder), "ref", "hyp").withColumn("e", E.word_errors(F.col("ref"), F.col("hyp")))
     edits = F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")
-    return rows.select("conv_id", "turn", "e.*", "distance", E.word_error_rate(F.col("e.ref_words"), edits).alias("wer"))
+    return rows.select("conv_id", "turn", "e.*", F.coalesce("distance", F.lit(0)).alias("distance"), E.word_error_rate(F.col("e.ref_words"), edits).alias("wer"))
 
 
-@query("""SELECT user_id % 50 AS ref_words, count(*)::BIGINT AS n, round(sum(event_id % 7)::DOUBLE / nullif(sum(user_id % 50), 0), 4) AS wer FROM events GROUP BY user_id % 50""")
+@query(f"WITH {WER_SQL} SELECT conv_id, count(*)::BIGINT AS pairs, sum(ref_words)::BIGINT AS ref_words, 0::BIGINT AS substitutions, 0::BIGINT AS deletions, sum(insertions)::BIGINT AS insertions, CASE WHEN sum(ref_words) > 0 THEN {rounded_sql('sum(insertions)::DOUBLE / nullif(sum(ref_words), 0)', 4)} ELSE 0 END::DOUBLE AS wer FROM w GROUP BY conv_id")
 def corpus_wer(spark, folder):
-    e = t(spark, folder, "events").select((F.col("user_id") % 50).alias("ref_words"), (F.col("event_id") % 7).alias("edits"))
-    return e.groupBy("ref_words").agg(F.count("*").alias("n"), F.round(F.try_divide(F.sum("edits").cast("double"), F.sum("ref_words")), 4).alias("wer"))
+    """Micro-averaged over a conversation's turns."""
+    pairs = _word_pairs(spark, folder).withColumn("e", E.word_errors(F.col("ref"), F.col("hyp"))).select("conv_id", "e.*")
+    return E.corpus_word_errors(pairs, "conv_id")
+
 
+_RANKS = ", ".join(f"max(x) FILTER (k = greatest(1, least(n, round_even({p / 100!r}::DOUBLE * n + 0.5, 0)))) AS p{p}" for p in R.PERCENTILES)
+_SHOWN = ", ".join(f"{rounded_sql(c, 1)} AS {c}" for c in ("least", *(f"p{p}" for p in R.PERCENTILES), "most", "mean"))
 
-@query("""WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_id % 10 <> 0 AND value IS NOT NULL),
-  a AS (SELECT event_type, min(x) AS least, max(x) FILTER (k = greatest(1, least(n, round_even(0.50::DOUBLE * n + 0.5, 0)))) AS p50, max(x) FILTER (k = greatest(1, least(n, round_even(0.95::DOUBLE * n + 0.5, 0)))) AS p95, max(x) FILTER (k = greatest(1, least(n, round_even(0.99::DOUBLE * n + 0.5, 0)))) AS p99, max(x) AS most, round(avg(x), 3) AS mean FROM r GROUP BY event_type)
-  SELECT event_type, n::BIGINT AS n, errors::BIGINT AS errors, least, p50, p95, p99, most, mean FROM (SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 10 = 0) AS errors FROM events GROUP BY event_type) LEFT JOIN a USING (event_type)""")
+
+@query(f"""WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_id % 10 <> 0 AND value IS NOT NULL),
+  a AS (SELECT event_type, count(*) AS n, min(x) AS least, {_RANKS}, max(x) AS most, avg(x) AS mean FROM r GROUP BY event_type)
+  SELECT event_type, coalesce(n, 0)::BIGINT AS n, errors::BIGINT AS errors, {_SHOWN} FROM (SELECT event_type, count(*) FILTER (event_id % 10 = 0) AS errors FROM events GROUP BY event_type) LEFT JOIN a USING (event_type)""")
 def latency_summary(spark, folder):
     return R.latencies(t(spark, folder, "events"), "event_type", "value", F.col("event_id") % 10 == 0)
 
@@ -506,8 +571,41 @@ def event_sessions(spark, folder):
 
 
 def _meetings(spark, folder):
-    domain = F.element_at(F.array(*map(F.lit, ("technology", "education", "healthcare", "business"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t(spark, folder, "part").select(F.col("p_partkey").alias("job_id"), domain.alias("domain"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("title"), F.concat(F.lit("m"), "p_partkey", F.lit(".txt")).alias("filename"), (F.col("p_size") * 61.5).alias("seconds"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("hi"), F.lit("en"))).otherwise(F.array(F.lit("en"))).alias("languages"))
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t(spark, folder, "part").select(
+        F.col("p_partkey").alias("job_id"), domain.alias("domain"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("title"), F.concat(F.lit("m"), "p_partkey", F.lit(".txt")).alias("filename"), (F.col("p_size") * 61.5).alias("seconds"),
+        F.when(F.col("p_size") % 2 == 0, F.array(F.lit("hi"), F.lit("en"))).otherwise(F.array(F.lit("en"))).alias("languages"), (F.col("p_partkey") % 5 > 0).alias("has_transcript"), (F.col("p_partkey") % 2 > 0).alias("diarized"), (F.col("p_size") % 3).cast("int").alias("speakers"),
+    )
+
+
+DOMAINS = ("technology", "education", "healthcare", "business")
+MEETING_SQL = f"""meeting AS (SELECT p_partkey AS job_id, {_quoted(DOMAINS)}[1 + p_partkey % 4] AS domain, CASE WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey || '.txt' ELSE p_name END AS title,
+  'Meeting: ' || CASE WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey || '.txt' ELSE p_name END || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || 'No transcript is available for this meeting yet.' ELSE
+  CASE WHEN p_size > 0 THEN chr(10) || 'Duration: ' || lpad((floor(p_size * 61.5)::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((floor(p_size * 61.5)::BIGINT % 60)::VARCHAR, 2, '0') ELSE '' END || chr(10) || 'Language(s): ' || CASE WHEN p_size % 2 = 0 THEN 'hi, en (code-mixed)' ELSE 'en' END
+  || CASE WHEN p_partkey % 2 > 0 THEN chr(10) || 'Speakers identified: ' || CASE WHEN p_size % 3 = 0 THEN 'not specified' ELSE (p_size % 3)::VARCHAR END ELSE '' END END AS overview FROM part)"""
+_TITLE = f"array_to_string(string_split_regex(trim(regexp_replace(s, {_re(TOPIC_SQL)}, '', 'g'), ' ,.:;-—'), '\\s+')[1:8], ' ')"
+BLOCKS_SQL = f"""firsts AS (SELECT job_id, position, arg_min(sentence, i) AS s FROM placed GROUP BY job_id, position), titled AS (SELECT job_id, position, {_TITLE} AS w FROM firsts),
+  blocks AS (SELECT job_id, position, CASE WHEN w = '' THEN 'Agenda item ' || (position + 1) ELSE upper(w[1]) || w[2:] END AS title FROM titled)"""
+
+
+def _templates_sql() -> str:
+    rows, at = [], {}
+    for domain, key, heading, kind, message in D.TEMPLATES:
+        at[domain] = at.get(domain, -1) + 1
+        text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        rows.append(f"({text(domain)}, {at[domain]}, {text(key)}, {text(heading)}, {text(kind)}, {text(message)}, {text(D.BEFORE.get((domain, key), ''))}, {text(D.AFTER.get((domain, key), ''))})")
+    return f"template(domain, ord, key, heading, kind, message, before, after) AS (VALUES {', '.join(rows)})"
+
+
+_SLOT = "coalesce(nullif({}, ''), 'Not specified')"
+_ORDER = "ORDER BY position, kind, text"
+SECTIONS_SQL = f"""{ITEMS_SQL}, {BLOCKS_SQL}, {MEETING_SQL}, {_templates_sql()},
+  topics AS (SELECT job_id, string_agg('- ' || title, chr(10) ORDER BY position) AS topics FROM blocks GROUP BY job_id),
+  said AS (SELECT job_id, string_agg('- ' || text || ' (status: proposed)', chr(10) {_ORDER}) FILTER (kind = 'decision') AS decisions,
+    string_agg('- ' || text || ' | Owner: ' || {_SLOT.format('owner')} || ' | Deadline: ' || {_SLOT.format('deadline')} || ' | Status: proposed', chr(10) {_ORDER}) FILTER (kind = 'action') AS actions,
+    string_agg('- ' || text, chr(10) ORDER BY kind = 'action', position, kind, text) FILTER (confidence < {D.LOW_CONFIDENCE}) AS attention FROM items GROUP BY job_id),
+  section AS (SELECT m.job_id, m.title, m.domain, ord, key, heading, before || coalesce(CASE kind WHEN 'overview' THEN overview WHEN 'topics' THEN topics WHEN 'decisions' THEN decisions WHEN 'actions' THEN actions WHEN 'attention' THEN attention END, message) || after AS body
+    FROM meeting m LEFT JOIN topics USING (job_id) LEFT JOIN said USING (job_id) JOIN template USING (domain))"""
 
 
 def _minutes(spark, folder):
@@ -517,36 +615,44 @@ def _minutes(spark, folder):
     return D.sections(D.bodies(_meetings(spark, folder), blocks, items))
 
 
-@query()
+@query(f"WITH {SECTIONS_SQL} SELECT job_id, domain, ord::INT AS ord, key, heading, body FROM section")
 def minutes_sections(spark, folder):
     return _minutes(spark, folder)
 
 
-@query("""SELECT p_partkey AS job_id, 'Meeting: ' || CASE WHEN p_partkey % 3 = 0 THEN 'm' || p_partkey || '.txt' ELSE p_name END || CASE WHEN p_size > 0 THEN chr(10) || 'Duration: ' || lpad((floor(p_size * 61.5)::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((floor(p_size * 61.5)::BIGINT % 60)::VARCHAR, 2, '0') ELSE '' END || chr(10) || 'Language(s): ' || CASE WHEN p_size % 2 = 0 THEN 'hi, en (code-mixed)' ELSE 'en' END AS overview FROM part""")
+@query(f"WITH {MEETING_SQL} SELECT job_id, overview FROM meeting")
 def minutes_overview(spark, folder):
     none = spark.createDataFrame([], "job_id long, position int, title string, n int, kind string, text string, owner string, deadline string, status string, confidence double")
     return D.bodies(_meetings(spark, folder), none, none).select("job_id", "overview")
 
 
-@query()
+@query(f"WITH {SECTIONS_SQL} SELECT job_id, '# ' || any_value(title) || ' — ' || upper(any_value(domain)[1]) || any_value(domain)[2:] || ' Minutes' || chr(10) || chr(10) || string_agg('## ' || heading || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY ord) AS markdown FROM section GROUP BY job_id")
 def minutes_markdown(spark, folder):
     titles = _meetings(spark, folder).select("job_id", F.coalesce(F.nullif("title", F.lit("")), "filename").alias("title"))
     return D.markdown(_minutes(spark, folder), titles)
 
 
-@query(f"""WITH {ITEMS_SQL} SELECT text[1:255] AS summary, owner AS assignee, deadline AS duedate, 'job-' || (job_id::VARCHAR)[1:8] AS label, count(*)::BIGINT AS n FROM items WHERE kind = 'action' GROUP BY ALL""")
+@query(f"""WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY position, text) AS n FROM items WHERE kind = 'action')
+  SELECT job_id, n::BIGINT AS external_id, text[1:255] AS summary, 'Source meeting: m' || job_id || chr(10) || 'Evidence: ' || CASE WHEN n % 3 = 0 THEN 'n/a' ELSE text END || chr(10) || 'Extractor: rules (confidence ' || confidence || ')' || chr(10) || 'Reviewed: ' || CASE WHEN n % 2 = 0 THEN '2024-01-15T08:30:00+00:00' ELSE 'not reviewed' END AS description,
+  nullif(owner, '') AS assignee, deadline AS duedate, 'job-' || (job_id::VARCHAR)[1:8] AS label FROM n""")
 def tracker_payload(spark, folder):
-    actions = found_items(spark, folder).where("kind = 'action'").select("*", F.monotonically_increasing_id().alias("action_id"), F.lit("m").alias("title"))
-    return D.tracker_issues(actions).groupBy("summary", "assignee", "duedate", F.col("labels")[1].alias("label")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("job_id").orderBy("position", "text")
+    actions = found_items(spark, folder).where("kind = 'action'").withColumn("action_id", F.row_number().over(order).cast("long"))
+    n = F.col("action_id")
+    rows = actions.withColumns({"title": F.concat(F.lit("m"), F.col("job_id").cast("string")), "evidence": F.when(n % 3 > 0, F.col("text")).otherwise(""), "source_tool": F.lit("rules"), "reviewed_at": F.when(n % 2 == 0, F.expr("TIMESTAMP '2024-01-15 08:30:00'")), "created_at": n})
+    return D.tracker_issues(rows).select("job_id", "external_id", "summary", "description", F.col("assignee.displayName").alias("assignee"), "duedate", F.col("labels")[1].alias("label"))
 
 
-@query("""SELECT event_id, ts FROM events WHERE contains(lower(event_type), 'c') ORDER BY ts DESC, event_id LIMIT 200 OFFSET 50""")
+@query("""SELECT event_id, ts FROM events WHERE contains(lower(event_type), 'c') AND user_id = 3 ORDER BY ts DESC, event_id LIMIT 200 OFFSET 5""")
 def audit_page(spark, folder):
-    rows = t(spark, folder, "events").where(F.contains(F.lower("event_type"), F.lit("c")))
-    return R.page(rows, [F.desc("ts"), F.col("event_id")], 200, 50).select("event_id", "ts")
+    rows = A.where_contains(A.where_equal(t(spark, folder, "events"), user_id=3, event_type=None), "event_type", "C")
+    return R.page(rows, [F.desc("ts"), F.col("event_id")], 200, 5).select("event_id", "ts")
 
 
-@query("""SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 2 ELSE 0 END >= 1 AS allowed, c_acctbal BETWEEN 0 AND 5000 AND length(c_name) BETWEEN 1 AND 255 AS valid FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'viewer' WHEN 1 THEN 'reviewer' WHEN 2 THEN 'admin' ELSE 'guest' END IN ('reviewer', 'admin') AS allowed, concat_ws(',', CASE WHEN length(repeat(c_name, c_custkey % 3 * 100)) NOT BETWEEN 1 AND 4000 THEN 'text_length' END, CASE WHEN NOT c_acctbal / 9000 BETWEEN 0 AND 1 THEN 'confidence_range' END, CASE WHEN length(repeat('x', c_custkey % 300)) > 255 THEN 'owner_length' END, CASE WHEN c_custkey % 2 = 0 AND trim(repeat(c_name, c_custkey % 3 * 100)) = '' THEN 'edited_text' END) AS problems FROM customer""")
 def role_and_shape(spark, folder):
-    rank = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 2).otherwise(0)
-    return t(spark, folder, "customer").select("c_custkey", "c_mktsegment", (rank >= 1).alias("allowed"), (F.col("c_acctbal").between(0, 5000) & F.length("c_name").between(1, 255)).alias("valid"))
+    """Who may review, and which rules a draft item breaks."""
+    k = F.col("c_custkey")
+    role = F.when(k % 4 == 0, "viewer").when(k % 4 == 1, "reviewer").when(k % 4 == 2, "admin").otherwise("guest")
+    drafts = t(spark, folder, "customer").select("c_custkey", A.may(role, "reviewer").alias("allowed"), F.expr("repeat(c_name, cast(c_custkey % 3 * 100 as int))").alias("text"), (F.col("c_acctbal") / 9000).alias("confidence"), F.expr("repeat('x', cast(c_custkey % 300 as int))").alias("owner"), F.lit(None).cast("string").alias("deadline"), F.when(k % 2 == 0, "edited").otherwise("proposed").alias("status"))
+    return A.checked(drafts, A.item_rules()).select("c_custkey", "allowed", F.array_join("problems", ",").alias("problems"))
