@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, same_rows
 
-from agendum.plans import catalogue
+from agendum.plans import catalogue, records  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
