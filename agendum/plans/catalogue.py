@@ -394,7 +394,7 @@ SWEPT_SQL = f"""q AS (SELECT event_id AS run_id, user_id AS job_id, event_id % 5
 
 @query(f"WITH {SWEPT_SQL} SELECT run_id, status, claimed_by, claimed, queued_at, error_message FROM swept")
 def lease_requeue(spark, folder):
-    swept = G.requeue(queue(spark, folder), F.expr(AS_OF))
+    swept = G.requeue(queue(spark, folder), F.expr(AS_OF).cast("timestamp_ntz"))
     return swept.select("run_id", "status", "claimed_by", F.col("claimed_at").isNotNull().alias("claimed"), "queued_at", "error_message")
 
 

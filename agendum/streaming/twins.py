@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,6 +28,20 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> D
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def with_recovery(apply: Callable[[DataFrame], DataFrame], recover: Callable[[], None], every_s: float = 60.0, clock: Callable[[], float] = time.monotonic) -> Callable[[DataFrame], DataFrame]:
+    """What sweep() applies to each batch, with a recovery sweep before it, at the first batch and whenever the last one
+    is so long ago."""
+    last: list[float] = []
+
+    def batch(rows: DataFrame) -> DataFrame:
+        if not last or clock() - last[-1] >= every_s:
+            last[:] = [clock()]
+            recover()
+        return apply(rows)
+
+    return batch
+
+
 def sweep(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Applies a batch operator to each micro-batch and appends the result; the checkpoint keeps it exactly once by batch."""
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -225,3 +225,12 @@ def test_streams_equal_tables(spark, tmp_path):
     live = twins.windowed_rate(stream).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     assert live.awaitTermination(120)
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, twins.windowed_rate(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()))
+
+
+def test_recovery_runs_once_a_minute():
+    ran, now = [], [0.0]
+    batch = twins.with_recovery(lambda rows: rows, lambda: ran.append(now[0]), 60.0, lambda: now[0])
+    for at in (0.0, 2.0, 59.0, 60.0, 61.0, 130.0):
+        now[0] = at
+        assert batch(at) == at
+    assert ran == [0.0, 60.0, 130.0]
