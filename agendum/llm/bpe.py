@@ -3,7 +3,9 @@
 A text is split by the vocabulary's pattern. The distinct pre-tokens of a batch go first through a minimal perfect hash
 of the vocabulary, all at once: one table of displacements and one of as many slots as there are tokens; what stands in
 the slot is compared. Misses are merged from their bytes, linked left to right, with a heap of adjacent pairs by rank.
-Results of a pre-token are kept in a memo of bounded size, so a word is merged about once a task.
+Results of a pre-token are kept in a memo of bounded size, so a word is merged about once a task. A batch's ids are then
+laid out at once: each pre-token has a slot, and its ids lie in one array for all slots. Decoding lays out tokens' bytes
+in the same way.
 
 Defined results: null text encodes as empty; bytes that aren't UTF-8 are read as U+FFFD; text that looks like a special
 token is ordinary text; repeated rows are encoded each; other columns are ignored; unknown ids in decode() are an error.
@@ -11,6 +13,8 @@ token is ordinary text; repeated rows are encoded each; other columns are ignore
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -111,33 +115,78 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Slots(dict):
+    """Numbers of pre-tokens, given in the order in which they are first asked for; `fresh` lists the new ones."""
+
+    fresh: list[str]
+
+    def __missing__(self, word: str) -> int:
+        slot = self[word] = len(self)
+        self.fresh.append(word)
+        return slot
+
+
+def laid_out(chosen: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[starts : starts + sizes] of all that is chosen, one after the other, and the place where each ends."""
+    n = sizes[chosen]
+    ends = np.cumsum(n)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[chosen] - (ends - n), n)], ends
+
+
+def ascii_split(pattern: str):
+    """The pattern for texts of ASCII only, where it needs no tables of Unicode; None if it has parts unknown here."""
+    space = r"\t-\r "
+    for a, b in ((r"[^\s\p{L}\p{N}]", f"[^{space}A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\S", f"[^{space}]"), (r"\s", f"[{space}]")):
+        pattern = pattern.replace(a, b)
+    return None if r"\p" in pattern else re.compile(pattern).findall
+
+
 class Coder:
     """Encodes and decodes with one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ascii = ascii_split(pattern) or self.split
         keys = list(ranks)
-        self.hash = PerfectHash(keys)
-        self.packed = [np.array([ranks[k]], "<i4").tobytes() for k in keys]
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.hash, self.ids = PerfectHash(keys), [ranks[k] for k in keys]
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
-            self.tokens[i] = token
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed 32-bit numbers."""
-        pieces = [self.split(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        fresh = [x for x in set().union(*pieces) if x not in memo]
-        keys = [x.encode() for x in fresh]
-        for word, key, i in zip(fresh, keys, self.hash.find(keys), strict=True):
-            memo[word] = self.packed[i] if i >= 0 else np.array(merged(key, self.ranks), "<i4").tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in pieces]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+            tokens[i] = token
+        self.sizes = np.array([len(x) for x in tokens], np.int64)
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(tokens), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots, self.begins, self.counts, self.found = Slots(), array("q"), array("q"), array("i")
+
+    def _learn(self, words: list[str]) -> None:
+        """The ids of new pre-tokens: whole ones by the perfect hash, all at once, others by merging."""
+        keys = [x.encode() for x in words]
+        for key, i in zip(keys, self.hash.find(keys), strict=True):
+            own = [self.ids[i]] if i >= 0 else merged(key, self.ranks)
+            self.begins.append(len(self.found))
+            self.counts.append(len(own))
+            self.found.extend(own)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the places where texts begin and end."""
+        if len(self.slots) > MEMO:
+            self._forget()
+        slots, chosen, sizes = self.slots, [], [0]
+        slots.fresh = []
+        for text in texts:
+            pieces = (self.ascii if text.isascii() else self.split)(text)
+            sizes.append(len(pieces))
+            chosen.extend(map(slots.__getitem__, pieces))
+        self._learn(slots.fresh)
+        ids, ends = laid_out(np.array(chosen, np.int64), np.array(self.begins, np.int64), np.array(self.counts, np.int64), np.array(self.found, "<i4"))
+        return ids, np.concatenate(([0], ends))[np.cumsum(sizes)]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where each id's end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id isn't in the vocabulary")
+        return laid_out(ids, self.starts, self.sizes, self.bytes)
 
 
 @lru_cache(maxsize=2)
@@ -153,10 +202,9 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFr
         for batch in batches:
             texts = utf8(batch.column(1))
             for i, j in by_bytes(texts):
-                found = own.encode([(t or b"").decode() for t in texts[i:j]])
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids], ["doc_id", "ids"])
+                ids, ends = own.encode([(t or b"").decode() for t in texts[i:j]])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids)).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -169,7 +217,11 @@ def decode(rows: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFr
         for batch in batches:
             lists = batch.column(1)
             for i, j in by_sizes(4 * (n or 0) for n in pa.compute.list_value_length(lists).to_pylist()):
-                found = [own.decode(x.values.to_pylist() if x.is_valid else []) for x in lists.slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns] + [pa.array(found, pa.binary())], ["doc_id", "ids", "bytes"])
+                part = lists.slice(i, j - i)
+                sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(part), 0), np.int64)
+                data, ends = own.decode(part.flatten().to_numpy(zero_copy_only=False))
+                places = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+                found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns] + [found], ["doc_id", "ids", "bytes"])
 
     return rows.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, ids array<int>, bytes binary")

@@ -43,6 +43,19 @@ def test_op2_columns(spark, texts):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(texts[r["doc_id"]].encode()))
 
 
+def test_ascii_texts_are_split_alike():
+    import regex
+
+    rng = random.Random(9)
+    plain, fast = regex.compile(public_tokenizers.PATTERN).findall, bpe.ascii_split(public_tokenizers.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice([chr(rng.randrange(128)), " ", "\n", "'ll", "ab", "\x1c", "\x0b"]) for _ in range(rng.randint(0, 20)))
+        assert plain(text) == fast(text)
+    assert bpe.ascii_split(r"\p{Lu}+") is None
+    with pytest.raises(ValueError):
+        bpe.coder("byte_bpe_multi_50k.tiktoken").decode(np.array([60_000]))
+
+
 def test_op6_columns(spark, texts):
     import sentencepiece
 
