@@ -107,14 +107,17 @@ def deadline(text: Column) -> Column:
     return first_group(text, [(p, True) for p in P.DEADLINES])
 
 
-def rule_confidence(text: Column, base: float, due: Column | None = None) -> Column:
+def confidence(base: float, hedged: Column, n: Column, due: Column) -> Column:
     """Base, less for hedges and few words, more for many words and a deadline; within 0.05 and 0.95."""
-    n = n_words(text)
-    score = F.lit(base) - F.when(has(text, P.HEDGE), 0.25).otherwise(0.0)
-    score = score + F.when(n < 5, -0.15).when(n > 12, 0.08).otherwise(0.0) + F.when((deadline(text) if due is None else due).isNotNull(), 0.10).otherwise(0.0)
+    score = F.lit(base) - F.when(hedged, 0.25).otherwise(0.0)
+    score = score + F.when(n < 5, -0.15).when(n > 12, 0.08).otherwise(0.0) + F.when(due.isNotNull(), 0.10).otherwise(0.0)
     return rounded(F.greatest(F.lit(0.05), F.least(F.lit(0.95), score)), 2)
 
 
+def rule_confidence(text: Column, base: float, due: Column | None = None) -> Column:
+    return confidence(base, has(text, P.HEDGE), n_words(text), deadline(text) if due is None else due)
+
+
 def languages(text: Column, hint: Column | None = None) -> Column:
     """`hi` for Devanagari, `en` for Latin letters, then the hint; `unknown` if none."""
     found = F.array_compact(F.array(F.when(text.rlike("[ऀ-ॿ]"), "hi"), F.when(text.rlike("[A-Za-z]"), "en"), hint if hint is not None else F.lit(None).cast("string")))

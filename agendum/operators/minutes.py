@@ -98,15 +98,20 @@ def agenda(rows: DataFrame) -> DataFrame:
 
 
 def items(blocks: DataFrame) -> DataFrame:
-    """(job_id, position, kind, text, evidence, owner, deadline, confidence): a sentence can be both kinds."""
+    """(job_id, position, kind, text, evidence, owner, deadline, confidence): a sentence can be both kinds.
+
+    Slots are columns before the kinds are told apart, so that each pattern is tried once a sentence, in compiled code.
+    """
     each = blocks.select("job_id", "position", F.explode(X.extractor_sentences(F.col("text"))).alias("evidence"))
     s = F.col("evidence")
-    each = each.withColumns({"is_decision": X.has(s, P.DECISION), "is_action": X.has(s, P.ACTION)}).where("is_decision or is_action").withColumn("due", X.deadline(s))
+    each = each.withColumns({"is_decision": X.has(s, P.DECISION), "is_action": X.has(s, P.ACTION)}).where("is_decision or is_action")
+    each = each.withColumns({"due": X.deadline(s), "who": F.when(F.col("is_action"), X.owner(s)), "text": X.normalised(s), "hedged": X.has(s, P.HEDGE), "n": X.n_words(s)})
+    scores = {kind: X.confidence(base, F.col("hedged"), F.col("n"), F.col("due")) for kind, base in (("decision", 0.62), ("action", 0.58))}
+    each = each.withColumns({f"as_{kind}": score for kind, score in scores.items()})
     none = F.lit(None).cast("string")
-    decision = F.struct(F.lit("decision").alias("kind"), none.alias("owner"), none.alias("deadline"), X.rule_confidence(s, 0.62, F.col("due")).alias("confidence"))
-    action = F.struct(F.lit("action").alias("kind"), X.owner(s).alias("owner"), F.col("due").alias("deadline"), X.rule_confidence(s, 0.58, F.col("due")).alias("confidence"))
-    found = F.filter(F.array(F.when(F.col("is_decision"), decision), F.when(F.col("is_action"), action)), lambda x: x.isNotNull())
-    return each.select("job_id", "position", "evidence", F.explode(found).alias("x")).select("job_id", "position", "x.kind", X.normalised(F.col("evidence")).alias("text"), "evidence", "x.owner", "x.deadline", "x.confidence")
+    item = lambda kind, owner, due: F.when(F.col(f"is_{kind}"), F.struct(F.lit(kind).alias("kind"), owner.alias("owner"), due.alias("deadline"), F.col(f"as_{kind}").alias("confidence")))
+    found = F.array_compact(F.array(item("decision", none, none), item("action", F.col("who"), F.col("due"))))
+    return each.select("job_id", "position", "text", "evidence", F.explode(found).alias("x")).select("job_id", "position", "x.kind", "text", "evidence", "x.owner", "x.deadline", "x.confidence")
 
 
 def extract(transcripts: DataFrame) -> DataFrame:
