@@ -121,6 +121,12 @@ def _branch(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.explode(F.when(two, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("path"), "key", "sig")
 
 
+def _few(classes: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The classes whose key may be one of n `keys`, so that the others aren't shuffled for a join with them."""
+    rows, may = sieved(classes, "key", keys.select("key"), n)
+    return rows.where(may).select(*classes.columns)
+
+
 def _nodes(classes: DataFrame, join: Join, work: Workspace) -> DataFrame:
     """(path, key, n, leader): the final nodes of all trees that hold two classes or more."""
     rows = classes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(join.trees).cast("long"))).alias("path"), "key", "sig")
@@ -137,7 +143,8 @@ def _nodes(classes: DataFrame, join: Join, work: Workspace) -> DataFrame:
         done = stop if done is None else done.unionAll(stop)
         if last or not figures["large"]:
             return done
-        rows = found.where(F.col("n") > join.leaf).select("path", "key").join(classes.select("key", "sig"), "key").select("path", "key", "sig")
+        large = found.where(F.col("n") > join.leaf).select("path", "key")
+        rows = large.join(_few(classes.select("key", "sig"), large, figures["large"]), "key").select("path", "key", "sig")
         for _ in range(join.step):
             rows = _branch(rows, join.percent)
         depth += join.step
@@ -314,7 +321,7 @@ def _sets(docs: DataFrame, needed: DataFrame, n: int, join: Join) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     rows, may = sieved(texts, "doc_id", needed.select(F.col("id").alias("doc_id")), n)
     words = rows.where(may).select("text").mapInArrow(run, "hi long, lo long, words binary")
-    return words.join(needed.select("key", "hi", "lo"), ["hi", "lo"]).select("key", "words").dropDuplicates(["key"])
+    return words.join(needed.select("key", "hi", "lo"), ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("key", "words")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -351,15 +358,17 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     members, _ = work.put("members", known.select("doc_id", "n_shingles", "hi", "lo").join(classes.select("hi", "lo", "id"), ["hi", "lo"], "left").select("doc_id", "n_shingles", "id"))
     work.drop("known")
     nodes = _nodes(classes, join, work)
+    keys, figures = work.put("keys", nodes.select("key").distinct())
+    classes, _ = work.put("needed", _few(classes, keys, figures["n"]).join(keys, "key"))  # only these share a node
+    work.drop("classes", "keys")
     pairs, _ = work.put("pairs", _parts(nodes, classes, join).dropDuplicates(["a", "b"]))
-    needed, figures = work.put("needed", nodes.select("key").distinct().join(classes.select("key", "id", "hi", "lo"), "key"))
-    sets, _ = work.put("sets", _sets(docs, needed, figures["n"], join))
+    sets, _ = work.put("sets", _sets(docs, classes, figures["n"], join))
     links, _ = work.put("links", _confirmed(pairs, sets, join).unionAll(_same_document(members)))
     owners, _ = work.put("owners", components(links, work))
     tried = pairs.select("a", "b")
     labels = classes.select("key", "id").join(owners, "id", "left").select("key", F.coalesce("component", "id").alias("own"))
     mixed, figures = work.put("mixed", _mixed(nodes.join(labels, "key")))
-    work.drop("links", "edges", "needed")
+    work.drop("links", "edges")
     for every_pair in join.rounds:
         if not figures["n"]:
             break
