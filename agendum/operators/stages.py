@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import logging
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 log = logging.getLogger(__name__)
 
@@ -138,16 +137,28 @@ def hashed_words(dimensions: int = 64) -> Loader:
     return load
 
 
-def encoded(rows: DataFrame, column: str, load: Loader, name: str = "v") -> DataFrame:
-    """rows with the vectors of a column's sentences; a worker loads the encoder once and is given batches."""
+#: Characters of text that are encoded at a time.
+BATCH_CHARACTERS = 1 << 20
 
-    @F.arrow_udf("array<double>")
-    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = load()
-        for batch in batches:
-            yield pa.array([v.tolist() for v in encode([s or "" for s in batch.to_pylist()])], pa.list_(pa.float64()))
 
-    return rows.withColumn(name, vectors(F.col(column)))
+def batches(texts: Sequence[str | None], most: int = BATCH_CHARACTERS) -> Iterator[tuple[int, int]]:
+    """Consecutive (start, end) ranges of at most so many characters; a longer text is a range of its own."""
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        own = len(text or "")
+        if size + own > most and start < at:
+            yield start, at
+            start, size = at, 0
+        size += own
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def encoded(sentences: Sequence[str], encode: Callable[[list[str]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(vectors, at, distinct): the vectors of the distinct sentences, a row a dimension, and each sentence's number there."""
+    known: dict[str, int] = {}
+    at = np.fromiter((known.setdefault(s, len(known)) for s in sentences), np.int64, len(sentences))
+    return (np.ascontiguousarray(np.asarray(encode(list(known)), np.float64).T) if known else np.zeros((1, 0))), at, list(known)
 
 
 @contextmanager

@@ -364,3 +364,32 @@ def test_published_scores(spark):
     assert totals == {"decision": (21, 0, 1), "action": (23, 0, 3)}
     pairs = readers.word_pairs(spark, os.environ["AGENDUM_WORDS"]).select("id", evaluate.word_errors(X.wer_text(F.col("reference")), X.wer_text(F.col("hypothesis"))).alias("e")).select("id", "e.*")
     assert tuple(evaluate.corpus_word_errors(pairs).first()) == (6, 60, 3, 2, 2, 0.1167)
+
+
+def test_worker_code_of_the_similarity_arm_equals_its_columns(spark):
+    rng = random.Random(11)
+    rows = [(j, i, [rng.choice((-1.0, 0.0, 0.5, rng.random())) for _ in range(3)]) for j in range(25) for i in range(rng.choice((1, 2, 3, 30, 60)))]
+    rows = [(j, i, f"s{j}-{i}", i, i + 1, v) for j, i, v in rows]
+    made = spark.createDataFrame(rows, "job_id long, i long, sentence string, start int, end int, v array<double>")
+    dips = vectors.valleys(vectors.adjacent(made)).cache()
+    got = {}
+    for r in vectors.cuts(dips).orderBy("job_id", "cut_after").collect():
+        got.setdefault(r["job_id"], []).append((r["cut_after"], r["confidence"]))
+    sims = {}
+    for r in dips.orderBy("job_id", "i").collect():
+        sims.setdefault(r["job_id"], []).append(r["sim"])
+    assert {j: found for j, own in sims.items() if (found := vectors.cut_places(own))} == got and got
+    titles = {(r["job_id"], r["start"]): r["title"] for r in vectors.blocks(made, vectors.cuts(dips)).collect()}
+    columns, begins = np.array([r[5] for r in rows]).T, np.array([n for n, r in enumerate(rows) if (r[0], r[3]) in titles])
+    assert [rows[n][2].upper() for n in vectors.nearest_in_blocks(columns, np.arange(len(rows)), begins)] == [titles[rows[n][0], rows[n][3]].upper() for n in begins]
+    words = ["Priya", "राहुल", "को", "will", "send", "ko", "by", "Friday", "OWNER", "is", "approved", "शायद", "maybe", "करना है", "assigned to", "sam", "before", "Monday", "hai", "2026-01-02", "कल तक", "should", "é", ",", "it was decided"]
+    texts = [*catalogue.TEMPLATES, *P.DECISION_EXAMPLES, *P.ACTION_EXAMPLES, *(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(300))]
+    s, codes = F.col("t"), F.array(X.sentence_language(F.col("t")))
+    want = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *(X.cue_hit(s, k, codes) for k in ("decision", "action", "hedge")), X.model_owner(s, codes), X.model_deadline(s, codes)).collect()
+    assert [tuple(r)[1:] for r in want] == [modelarm.read(r[0]) for r in want]
+
+
+def test_similarity_arm_reads_its_transcripts_once(spark):
+    """The plan of before read them for each tier of sentences, for blocks, and again for what had none."""
+    plan = records.model_extract(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
